@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepiece_bpe
+from . import html_extract, language_id, media_avi, neardup, sentencepiece_bpe, sharding, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,8 +34,82 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned without the held-out quarter."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = docs.withColumn("held_out", language_id.held_out())
+    model = language_id.train(docs.where("NOT held_out"))
+    return language_id.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on every page's URL."""
+    return url_filter.judge(_read(spark, sf_dir, "pages"))
+
+
+def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text stored as an AVI file, and what reading it back gives."""
+    stored = media_avi.encode_avi(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return media_avi.features(stored)
+
+
+def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes."""
+    placed = sharding.shard(_read(spark, sf_dir, "documents"), 16, "bytes")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op10_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.85."""
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_html_extract": op3_html_extract,
+    "op4_language_id": op4_language_id,
+    "op5_url_filter": op5_url_filter,
+    "op6_media_avi": op6_media_avi,
+    "op8_histogram_sort": op8_histogram_sort,
+    "op10_setsketch_neardup": op10_setsketch_neardup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_url_filter": """
+        WITH parts AS (
+          SELECT page_id,
+                 coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '') AS rest
+          FROM pages
+        ), split AS (
+          SELECT page_id,
+                 translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+          FROM parts
+        ), ruled AS (
+          SELECT *, CASE
+            WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7'
+            WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+            WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/'
+            WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/'
+            WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/'
+          END AS rule, CASE
+            WHEN host LIKE '%ads-track.%' THEN '*ads-track.**'
+            WHEN host LIKE '%cheap-pills.%' THEN '*cheap-pills.**'
+            WHEN host LIKE '%free-bets.%' THEN '*free-bets.**'
+            WHEN host LIKE '%casino%' THEN '*casino**'
+            WHEN path LIKE '/%/adserver/%' THEN '*/*/adserver/*'
+            WHEN path LIKE '%/banner/%.gif' THEN '**/banner/*.gif'
+          END AS hit
+          FROM split
+        )
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL OR hit IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+               CASE WHEN rule IS NULL THEN hit END AS pattern
+        FROM ruled
+    """,
+}
