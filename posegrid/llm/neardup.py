@@ -11,9 +11,11 @@ two sets with a probability close to their Jaccard similarity.
 3. Candidates: all members of a band bucket are held against the bucket's smallest
    member. Each pair goes through the joint likelihood of the registers and then
    an exact count over the full sets. Verified links make components.
-4. Buckets that still hold several components: small ones give all pairs across
-   components; large ones are split by every later band and go back to 3.
-   So no bucket is capped and none emits its pairs within a component.
+4. In buckets that still hold several components, the members outside the
+   largest one meet all members of other components, in blocks of bounded size
+   that yield only the likely pairs. Where that would be too much work, the bucket
+   is split by every later band and goes back to 3. So no bucket is capped, and
+   none compares pairs within a component.
 
 A pair at the threshold shares no band with probability (1 - s^r)^bands: for the
 defaults 3e-7 at 0.8 and 2e-9 at 0.85; the likelihood filter leaves six standard
@@ -42,9 +44,9 @@ from .shingles import digests, mix, multipliers, shingles, word_bytes, words
 BASE, RATE, STEPS = 1.02, 20.0, 65_534
 ROWS, BANDS = 5, 36
 M = ROWS * BANDS
-#: A bucket of at most so many members gives its cross-component pairs at once; a larger one is split by further bands.
-SMALL = 32
-#: So many times a bucket is split by a further band; what is still mixed then gives all its cross-component pairs.
+#: Members of a block, and comparisons up to which a bucket is not split by a further band.
+BLOCK, WORK = 1024, 1 << 23
+#: So many times a bucket is split by a further band; what is still mixed is then compared in blocks, whatever the work.
 LEVELS = 3
 #: Standard errors by which the likelihood estimate may fall short of the threshold.
 ROOM = 6.0
@@ -81,28 +83,42 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Joint maximum-likelihood estimates of the Jaccard similarity from registers and set sizes."""
+def _counts(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Registers of a above, below and equal to those of b."""
     above = (a > b).sum(axis=1).astype(np.float64)
     below = (a < b).sum(axis=1).astype(np.float64)
-    same = a.shape[1] - above - below
-    u, v = na / (na + nb), nb / (na + nb)
+    return above, below, a.shape[1] - above - below
+
+
+def _likelihood(counts: tuple[np.ndarray, ...], u: np.ndarray, v: np.ndarray, j: np.ndarray | float) -> np.ndarray:
+    """Joint log-likelihood of a similarity j, for sets with shares u and v of the sizes' sum."""
+
+    def p(x: np.ndarray) -> np.ndarray:
+        return np.maximum(-np.log1p(-np.maximum(x, 0) * (BASE - 1) / BASE) / np.log(BASE), 1e-12)
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
-        def p(x: np.ndarray) -> np.ndarray:
-            return np.maximum(-np.log1p(-x * (BASE - 1) / BASE) / np.log(BASE), 1e-12)
+    above, below, same = counts
+    up, down = p(u - v * j), p(v - u * j)
+    return above * np.log(up) + below * np.log(down) + same * np.log(np.maximum(1 - up - down, 1e-12))
 
-        up, down = p(np.maximum(u - v * j, 0)), p(np.maximum(v - u * j, 0))
-        return above * np.log(up) + below * np.log(down) + same * np.log(np.maximum(1 - up - down, 1e-12))
 
+def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """Joint maximum-likelihood estimates of the Jaccard similarity from registers and set sizes."""
+    counts, u, v = _counts(a, b), na / (na + nb), nb / (na + nb)
     low, high = np.zeros(len(u)), np.minimum(u / v, v / u)
     for _ in range(40):  # the likelihood is concave in the similarity
         x, y = low + (high - low) / 3, high - (high - low) / 3
-        up = likelihood(x) < likelihood(y)
+        up = _likelihood(counts, u, v, x) < _likelihood(counts, u, v, y)
         low, high = np.where(up, x, low), np.where(up, high, y)
     return (low + high) / 2
 
 
+def reaches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, floor: float) -> np.ndarray:
+    """Whether the estimate is at least `floor`: the likelihood still rises there, or sizes end it there."""
+    u, v = na / (na + nb), nb / (na + nb)
+    counts = _counts(a, b)
+    return _likelihood(counts, u, v, floor + 1e-4) >= _likelihood(counts, u, v, floor - 1e-4)
+
+
 def sketch(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, the text's digest (d1, d2), regs, bands; the last four null for an empty set."""
 
@@ -154,12 +170,81 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
             if batch.num_rows:
                 ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(-1, M) for c in ("ra", "rb"))
                 na, nb = (batch.column(c).to_numpy().astype(np.float64) for c in ("na", "nb"))
-                keep = estimate(ra, rb, na, nb) >= floor
+                keep = reaches(ra, rb, na, nb, floor)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
     return both.mapInArrow(run, "a long, b long")
 
 
+def fingerprints(texts: DataFrame, width: int) -> DataFrame:
+    """Per (id, text): id and the sorted distinct shingle hashes cut to 32 bits, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for a, b in slices(offsets, BATCH_BYTES):
+                hashes, starts = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _WORD)
+                runs, bounds = shingles(hashes, starts, width)
+                short = (runs >> np.uint64(32)).astype(np.uint32)
+                packed = [np.unique(short[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(packed, type=pa.binary())], names=["id", "prints"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, prints binary")
+
+
+def across(members: DataFrame, reps: DataFrame, least: float, once: bool) -> DataFrame:
+    """Likely pairs (a, b) across components in buckets (bucket, band, id, label, size, top, rest).
+
+    `rest` members lie outside the largest component `top`. They are dealt to blocks,
+    as all members are, and each pair of blocks is one group of bounded size. With
+    `once`, a pair that meets in several bands is looked at in the first. Register likelihood comes
+    first, then a count over 32-bit fingerprints, which can only overstate the
+    similarity; what is left is for the exact check.
+    """
+    floor = least - ROOM * np.sqrt(least * (1 - least) / M)
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    spot = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    every = members.select("bucket", "band", "id", "label", F.lit(False).alias("few"), F.explode(F.sequence(F.lit(0), blocks("rest") - 1)).alias("x"), spot("size").alias("y"))
+    few = members.where("label <> top")
+    few = few.select("bucket", "band", "id", "label", F.lit(True).alias("few"), spot("rest").alias("x"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("y"))
+    rows = every.unionByName(few).join(reps.select("id", "n_shingles", "regs", "prints"), "id")
+
+    def run(table: pa.Table) -> pa.Table:
+        few = table.column("few").to_numpy()
+        ids, labels, sizes = (table.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
+        sizes = sizes.astype(np.float64)
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, M)
+        prints = [np.frombuffer(x, dtype=np.uint32) for x in table.column("prints").to_pylist()]
+        band = int(table.column("band")[0].as_py()) if once and len(few) else 0
+        every = np.flatnonzero(~few)
+        out: list[tuple[int, int]] = []
+        for k in np.flatnonzero(few):
+            n = sizes[k]
+            at = every[(labels[every] != labels[k]) & (np.minimum(sizes[every], n) >= least * np.maximum(sizes[every], n))]
+            if not len(at):
+                continue
+            same = regs[at] == regs[k]
+            near = same.mean(axis=1) >= floor - 0.1  # equal registers can't overstate the similarity by so much
+            at, same = at[near], same[near]
+            before = same[:, : band * ROWS].reshape(len(at), band, ROWS).all(axis=2).any(axis=1)
+            at = at[~before]
+            if len(at):
+                at = at[reaches(np.broadcast_to(regs[k], (len(at), M)), regs[at], np.full(len(at), n), sizes[at], floor)]
+            if len(at):
+                own, others = prints[k], [prints[j] for j in at]
+                counts = np.array([len(x) for x in others])
+                flat = np.concatenate(others)
+                found = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                hits = np.concatenate([[0], np.cumsum(own[found] == flat)])
+                ends = np.cumsum(counts)
+                common = hits[ends] - hits[ends - counts]
+                at = at[common >= least * (len(own) + counts - common) - 2]
+                out += [(max(i, int(ids[k])), min(i, int(ids[k]))) for i in ids[at].tolist()]
+        return pa.table({"a": pa.array([x for x, _ in out], type=pa.int64()), "b": pa.array([y for _, y in out], type=pa.int64())})
+
+    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those with 100 * intersection >= percent * union over the full shingle sets."""
     side = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"t{s}"))
@@ -201,35 +286,35 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     wanted = met.select("id").distinct()
     full = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
     full = work.save(full.groupBy("id").agg(F.max("text").alias("text")), "texts")
-    seen_regs = work.save(reps.join(wanted, "id", "left_semi").select("id", "n_shingles", "regs"), "registers")
+    seen = reps.select("id", "n_shingles", "regs").join(fingerprints(full, width), "id")
+    seen = work.save(seen, "registers")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return work.save(verified(likely(pairs, seen_regs, percent / 100), full, width, percent), "verified")
+        return work.save(verified(pairs, full, width, percent), "verified")
 
     stars = met.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-    links = links_of(stars)
+    links = links_of(likely(stars, seen, percent / 100))
     labels = work.save(connected_components(links, work), "labels")
     level, hot = 0, met.where("size > 2").select("bucket", "band", "id")
     while True:
         named = hot.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("label"))
-        mixed = named.groupBy("bucket").agg(F.count("*").alias("size"), F.min("label").alias("least"), F.max("label").alias("most")).where("least < most")
-        open_ = work.save(named.join(mixed.select("bucket", "size"), "bucket"), "open")
-        small = F.col("size") <= SMALL if level < LEVELS else F.lit(True)
-        counts = open_.agg(F.count_if(small), F.count_if(~small)).first()
+        sizes = named.groupBy("bucket", "label").count().groupBy("bucket")
+        mixed = sizes.agg(F.sum("count").alias("size"), F.max_by("label", F.struct("count", "label")).alias("top"), (F.sum("count") - F.max("count")).alias("rest")).where("rest > 0")
+        open_ = work.save(named.join(mixed, "bucket"), "open")
+        near = F.col("size") * F.col("rest") <= WORK if level < LEVELS else F.lit(True)
+        counts = open_.agg(F.count_if(near), F.count_if(~near)).first()
         if not (counts[0] or counts[1]):
             break
-        near = open_.where(small)
-        left, right = near.select("bucket", F.col("id").alias("a"), F.col("label").alias("la")), near.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-        pairs = left.join(right, "bucket").where("a > b and la <> lb").select("a", "b").distinct()
-        more = [pairs]
+        pairs = across(open_.where(near), seen, percent / 100, level == 0)
         if counts[1]:
             level += 1
-            large = open_.where(~small).select("bucket", "band", "id")
+            large = open_.where(~near).select("bucket", "band", "id")
             keyed = large.join(reps.select("id", "bands"), "id").select("id", "bucket", "band", F.posexplode("bands")).where("pos > band")
             keyed = keyed.select("id", F.col("pos").alias("band"), F.xxhash64("bucket", "col").alias("bucket"))
             finer = work.save(keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("center")).where("size > 1"), "bucket"), "finer")
-            more.append(finer.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct())
-        found = links_of(more[0] if len(more) == 1 else more[0].unionByName(more[1]).distinct())
+            stars = finer.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+            pairs = pairs.unionByName(likely(stars, seen, percent / 100)).distinct()
+        found = links_of(work.save(pairs, "pairs"))
         links = work.save(links.unionByName(found), "links")
         labels = work.save(connected_components(links, work), "labels")
         if not counts[1]:
