@@ -326,3 +326,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     result = work.save(result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
     work.drop(result)
     return result
+
+
+def deduplicate(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df, one document of each group of near duplicates, and repeated rows once."""
+    kept = near_duplicates(df, width, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    rows = df.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.withColumn("_hash", F.xxhash64(text)).dropDuplicates([doc_id, "_hash"]).drop("_hash")

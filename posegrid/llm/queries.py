@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, language_id, media_avi, neardup, sentencepiece_bpe, sharding, url_filter
+from . import decontamination, edit_counts, html_extract, language_id, license_scan, media_avi, neardup, sentencepiece_bpe, sharding, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence sentences and licences of every document."""
+    return license_scan.scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_extract.extract_pages(_read(spark, sf_dir, "pages"))
@@ -58,12 +63,34 @@ def op6_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_avi.features(stored)
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that contains four fifths of a benchmark item's 5-word shingles, with the item."""
+    return decontamination.containments(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of near equal bytes."""
     placed = sharding.shard(_read(spark, sf_dir, "documents"), 16, "bytes")
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def made_edits(docs: DataFrame) -> DataFrame:
+    """Three edits per document, in places that follow from its id: an insertion, a replacement, a deletion."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    spot = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), size + 1).cast("int")
+    edit = lambda k, n, new: F.struct(spot(k).alias("start"), (spot(k) + n).alias("stop"), F.lit(new).alias("replacement"))
+    return docs.withColumn("edits", F.array(edit(1, 0, " inserted words"), edit(2, 9, "it's 42"), edit(3, 25, "")))
+
+
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits."""
+    import public_tokenizers
+
+    docs = made_edits(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    counted = edit_counts.count_edited(docs, _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return counted.select("doc_id", "n_before", "n_after", "n_pretokens", "n_reencoded", F.sha2(F.col("edited"), 256).alias("edited_sha256"))
+
+
 def op10_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingle sets reach a Jaccard similarity of 0.85."""
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"), width=3, percent=85)
@@ -71,15 +98,38 @@ def op10_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_license_scan": op2_license_scan,
     "op3_html_extract": op3_html_extract,
     "op4_language_id": op4_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_media_avi": op6_media_avi,
+    "op7_decontamination": op7_decontamination,
     "op8_histogram_sort": op8_histogram_sort,
+    "op9_edit_counts": op9_edit_counts,
     "op10_setsketch_neardup": op10_setsketch_neardup,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle_sql(),
+    "op7_decontamination": r"""
+        WITH texts AS (
+          SELECT 'd' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'i', item_id, text FROM benchmark
+        ), split AS (
+          SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w
+          FROM texts
+        ), shingled AS (
+          SELECT DISTINCT kind, id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+          FROM split
+        ), sizes AS (
+          SELECT id, count(*) AS n FROM shingled WHERE kind = 'i' GROUP BY id
+        ), common AS (
+          SELECT d.id AS doc_id, i.id AS item_id, count(*) AS c
+          FROM shingled d JOIN shingled i ON d.s = i.s AND d.kind = 'd' AND i.kind = 'i' GROUP BY d.id, i.id
+        )
+        SELECT doc_id, item_id, n AS n_item, c AS n_shared, c / n AS containment
+        FROM common JOIN sizes ON sizes.id = item_id WHERE 100 * c >= 80 * n
+    """,
     "op5_url_filter": """
         WITH parts AS (
           SELECT page_id,
