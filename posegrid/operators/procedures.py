@@ -75,8 +75,9 @@ def extract(images: DataFrame, extractor: Callable[[pa.RecordBatch], pa.RecordBa
 def match(pairs: DataFrame, keypoints: DataFrame, matcher: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
     """Matches of every pair (image_a, image_b) whose images have keypoints; each pair is one group."""
     key = ["image_a", "image_b"]
-    left = pairs.join(keypoints.withColumnRenamed("image_id", "image_a"), "image_a")
-    right = pairs.join(keypoints.withColumnRenamed("image_id", "image_b"), "image_b")
+    renewed = lambda df: df.toDF(*df.columns).select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  the two sides need attributes of their own
+    left = renewed(pairs.join(keypoints.withColumnRenamed("image_id", "image_a"), "image_a"))
+    right = renewed(pairs.join(keypoints.withColumnRenamed("image_id", "image_b"), "image_b"))
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: matcher(a, b), MATCHES)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import pair_queries, pose_queries, rule_queries
+from . import graph_queries, pair_queries, pose_queries, registry_queries, rule_queries, storage_queries
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "pair_queries", "pose_queries", "rule_queries"]
+__all__ = ["ORACLE_SQL", "QUERIES", "graph_queries", "pair_queries", "pose_queries", "registry_queries", "rule_queries", "storage_queries"]
