@@ -323,7 +323,7 @@ def _files(batches: Iterator[pa.RecordBatch], media: str) -> Iterator[tuple[pa.R
 def clips(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per shot of a file: the other columns and clip, first_frame, n_frames, start_s, end_s."""
     keep = [f for f in df.schema.fields if f.name not in (media, "clip", "first_frame", "n_frames", "start_s", "end_s")]
-    more = T.StructType().add("clip", "int").add("first_frame", "int").add("n_frames", "int").add("start_s", "double").add("end_s", "double")
+    more = T.StructType().add("clip", "integer").add("first_frame", "integer").add("n_frames", "integer").add("start_s", "double").add("end_s", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, files in _files(batches, media):
