@@ -111,15 +111,16 @@ def as_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _M = [f"m{k}" for k in range(16)]
+_LAST = [f"CAST({k} AS DOUBLE)" for k in (0, 0, 0, 1)]
 _ROWS = [x for k in range(3) for x in (*_R[3 * k : 3 * k + 3], _T[k])]
 
 
-@query(f"WITH {_BASE} SELECT vec_id, {_out(_M, [*_ROWS, '0.0', '0.0', '0.0', '1.0'])} FROM rot")
+@query(f"WITH {_BASE} SELECT vec_id, {_out(_M, [*_ROWS, *_LAST])} FROM rot")
 def se3_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _poses(spark, sf_dir).select("vec_id", G.se3_matrix(_r, _t).alias("m")).select("vec_id", *spread("m", 16, "m"))
 
 
-@query(f"WITH {_BASE} SELECT vec_id, {_out(_M, [*(x if x in _T else f's * {x}' for x in _ROWS), '0.0', '0.0', '0.0', '1.0'])} FROM rot")
+@query(f"WITH {_BASE} SELECT vec_id, {_out(_M, [*(x if x in _T else f's * {x}' for x in _ROWS), *_LAST])} FROM rot")
 def sim3_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _poses(spark, sf_dir).select("vec_id", G.sim3_matrix(_s, _r, _t).alias("m")).select("vec_id", *spread("m", 16, "m"))
 
