@@ -15,9 +15,9 @@ def rot_z(a: float) -> list[float]:
     return [math.cos(a), -math.sin(a), 0.0, math.sin(a), math.cos(a), 0.0, 0.0, 0.0, 1.0]
 
 
-def one(spark, *columns, **values):
-    row = spark.range(1).select(*(F.array(*map(F.lit, v)).alias(k) if isinstance(v, list) else F.lit(v).alias(k) for k, v in values.items()))
-    return row.select(*(c.alias(f"c{k}") for k, c in enumerate(columns))).first()
+def row(spark, **values):
+    """One row of arrays and values; steps are selected one after the other, so that no expression grows."""
+    return spark.range(1).select(*(F.array(*map(F.lit, v)).alias(k) if isinstance(v, list) else F.lit(v).alias(k) for k, v in values.items()))
 
 
 @pytest.mark.parametrize("q", [[1.0, 0, 0, 0], [0.0, 1, 0, 0], [0.0, 0, 1, 0], [0.0, 0, 0, 1], [0.5, -0.5, 0.5, 0.5], [-0.1, 0.7, 0.1, 0.7]])
@@ -25,25 +25,28 @@ def test_quaternion_round_trip(spark, q):
     q = [float(x) for x in q]
     n = math.sqrt(sum(x * x for x in q))
     wanted = [x / n * (-1 if q[0] < 0 else 1) for x in q]
-    got = one(spark, G.rotation_to_quat(G.quat_to_rotation(G.normalised("q", 4))), q=q)[0]
-    assert got == pytest.approx(wanted, abs=1e-12)
+    r = row(spark, q=q).select(G.normalised("q", 4).alias("q")).select(G.quat_to_rotation("q").alias("r"))
+    assert r.select(G.rotation_to_quat("r")).first()[0] == pytest.approx(wanted, abs=1e-12)
 
 
 def test_inverse_and_convention(spark):
+    df = row(spark, r=rot_z(0.7), t=[1.0, -2.0, 3.0], c="opencv_cam2world", p=[0.3, 0.4, 0.5])
     r, t, c = G.se3_inverse("r", "t", "c")
-    back = one(spark, G.apply_se3(r, t, G.apply_se3("r", "t", "p")), c, *G.as_convention("r", "t", "c", "opencv_cam2world")[:2], r=rot_z(0.7), t=[1.0, -2.0, 3.0], c="opencv_cam2world", p=[0.3, 0.4, 0.5])
+    made = df.select("*", r.alias("ri"), t.alias("ti"), c.alias("ci"), G.apply_se3("r", "t", "p").alias("x"))
+    back = made.select(G.apply_se3("ri", "ti", "x"), "ci", *G.as_convention("r", "t", "c", "opencv_cam2world")[:2]).first()
     assert back[0] == pytest.approx([0.3, 0.4, 0.5], abs=1e-12) and back[1] == "opencv_world2cam"
     assert back[2] == pytest.approx(rot_z(0.7)) and back[3] == [1.0, -2.0, 3.0]
 
 
 def test_camera_centre_and_sim3(spark):
-    _, centre, _ = G.from_world2cam("q", "t")
+    df = row(spark, q=[1.0, 0.0, 0.0, 0.0], t=[1.0, 2.0, 3.0], s=0.5, r=rot_z(-0.7), u=[1.0, 2.0, -1.0], c="opencv_world2cam", p=[4.0, 5.0, 6.0])
+    assert df.select(G.from_world2cam("q", "t")[1]).first()[0] == pytest.approx([-1.0, -2.0, -3.0])
     s, r, t, c = G.sim3_inverse("s", "r", "u", "c")
-    got = one(spark, centre, G.apply_sim3(s, r, t, G.apply_sim3("s", "r", "u", "p")), G.sim3_matrix("s", "r", "u"), c, q=[1.0, 0.0, 0.0, 0.0], t=[1.0, 2.0, 3.0], s=0.5, r=rot_z(-0.7), u=[1.0, 2.0, -1.0], c="opencv_world2cam", p=[4.0, 5.0, 6.0])
-    assert got[0] == pytest.approx([-1.0, -2.0, -3.0])
-    assert got[1] == pytest.approx([4.0, 5.0, 6.0], abs=1e-12)
-    assert got[2][15] == 1.0 and got[2][3] == 1.0 and got[2][0] == pytest.approx(0.5 * math.cos(-0.7))
-    assert got[3] == "opencv_cam2world"
+    made = df.select(s.alias("si"), r.alias("ri"), t.alias("ti"), c.alias("ci"), G.apply_sim3("s", "r", "u", "p").alias("x"), G.sim3_matrix("s", "r", "u").alias("m"))
+    got = made.select(G.apply_sim3("si", "ri", "ti", "x"), "m", "ci").first()
+    assert got[0] == pytest.approx([4.0, 5.0, 6.0], abs=1e-12)
+    assert got[1][15] == 1.0 and got[1][3] == 1.0 and got[1][0] == pytest.approx(0.5 * math.cos(-0.7))
+    assert got[2] == "opencv_cam2world"
 
 
 @pytest.mark.parametrize("a, b", [(0, 1), (2, 1), (7, 99), (123, 456), (1, 2147483646), (5, 5)])
