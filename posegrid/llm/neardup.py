@@ -120,7 +120,7 @@ def reaches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, floor:
 
 
 def sketch(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, the text's digest (d1, d2), regs, bands; the last four null for an empty set."""
+    """Per row: doc_id, n_shingles, the text's digest (d1, d2), regs; the last three null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,8 +140,6 @@ def sketch(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text"
                     regs[there] = registers(np.concatenate(sets), np.concatenate([[0], np.cumsum(full)]))
                 d1, d2 = digests(hashes, starts)
                 gone = ~there
-                offset = pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS)
-                keys = pa.ListArray.from_arrays(offset, pa.array(band_keys(regs).reshape(-1)))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(doc_id).slice(a, b - a),
@@ -149,15 +147,29 @@ def sketch(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text"
                         pa.array(d1, mask=gone),
                         pa.array(d2, mask=gone),
                         pa.array([None if g else r.tobytes() for g, r in zip(gone, regs)], type=pa.binary()),
-                        keys,
                     ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "regs", "bands"],
+                    names=["doc_id", "n_shingles", "d1", "d2", "regs"],
                 )
 
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, regs binary, bands array<long>"
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, regs binary"
     return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, schema)
 
 
+def banded(reps: DataFrame) -> DataFrame:
+    """Per (id, regs): id and its band keys, `bands`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 4096):
+                part = batch.slice(a, 4096)
+                regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, M)
+                offsets = pa.array(np.arange(len(regs) + 1, dtype=np.int32) * BANDS)
+                keys = pa.ListArray.from_arrays(offsets, pa.array(band_keys(regs).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([part.column("id"), keys], names=["id", "bands"])
+
+    return reps.select("id", "regs").mapInArrow(run, "id long, bands array<long>")
+
+
 def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b) those whose set sizes and registers allow a similarity of `least`."""
     side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
@@ -279,12 +291,13 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     spark = df.sparkSession
     work = Workspace(spark)
     rows = work.save(sketch(df, width, doc_id, text), "sketches")
-    classes = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max(F.struct("n_shingles", "regs", "bands")).alias("s"))
-    reps = work.save(classes.where("id is not null").select("id", "d1", "d2", "s.n_shingles", "s.regs", "s.bands"), "classes")
-    buckets = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
+    classes = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max(F.struct("n_shingles", "regs")).alias("s"))
+    reps = work.save(classes.where("id is not null").select("id", "d1", "d2", "s.n_shingles", "s.regs"), "classes")
+    buckets = banded(reps).select("id", F.posexplode("bands").alias("band", "bucket"))
     met = work.save(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("center")).where("size > 1"), "bucket"), "buckets")
     wanted = met.select("id").distinct()
-    full = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+    # A merge join at every size: the ids grow with the documents, so a broadcast would only pay while they are few.
+    full = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
     full = work.save(full.groupBy("id").agg(F.max("text").alias("text")), "texts")
     seen = reps.select("id", "n_shingles", "regs").join(fingerprints(full, width), "id")
     seen = work.save(seen, "registers")
@@ -309,7 +322,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
         if counts[1]:
             level += 1
             large = open_.where(~near).select("bucket", "band", "id")
-            keyed = large.join(reps.select("id", "bands"), "id").select("id", "bucket", "band", F.posexplode("bands")).where("pos > band")
+            keyed = large.join(banded(seen), "id").select("id", "bucket", "band", F.posexplode("bands")).where("pos > band")
             keyed = keyed.select("id", F.col("pos").alias("band"), F.xxhash64("bucket", "col").alias("bucket"))
             finer = work.save(keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("center")).where("size > 1"), "bucket"), "finer")
             stars = finer.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
@@ -329,7 +342,14 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
 
 
 def deduplicate(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df, one document of each group of near duplicates, and repeated rows once."""
-    kept = near_duplicates(df, width, percent, doc_id, text).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    """The rows of df, one document of each group of near duplicates, and repeated rows once.
+
+    A doc_id that stands for several texts stays if any of them does.
+    """
+    result = near_duplicates(df, width, percent, doc_id, text)
+    if result.groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = result.where("NOT kept").select(F.col("doc_id").alias("_gone"))
+        return df.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
+    kept = result.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
     rows = df.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
     return rows.withColumn("_hash", F.xxhash64(text)).dropDuplicates([doc_id, "_hash"]).drop("_hash")
