@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, text_bytes
+from .common import Workspace, slices, text_bytes, tidy
 from .shingles import multipliers, shingles, word_bytes, words
 
 FUNCTIONS = 64
@@ -167,7 +167,7 @@ def _search(df: DataFrame, items: list[tuple[int | None, str | None]], width: in
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types)], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
-    return df.mapInArrow(run, "doc_id long, item_id long, n_item long, n_shared long, containment double")
+    return df.mapInArrow(tidy(run), "doc_id long, item_id long, n_item long, n_shared long, containment double")
 
 
 def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:

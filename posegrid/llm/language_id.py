@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 
 #: Hashed features, n-gram orders and rows a label may give the fit.
 BITS, ORDERS, PER_LABEL = 16, (1, 2, 3), 1500
@@ -169,7 +171,7 @@ def _features(df: DataFrame) -> DataFrame:
                 cols = [part.column("label"), pa.ListArray.from_arrays(offsets, at), pa.ListArray.from_arrays(offsets, counts)]
                 yield pa.RecordBatch.from_arrays(cols, names=["label", "at", "counts"])
 
-    return df.mapInArrow(run, "label string, at array<int>, counts array<int>")
+    return df.mapInArrow(tidy(run), "label string, at array<int>, counts array<int>")
 
 
 def _frequencies(df: DataFrame) -> DataFrame:
@@ -184,7 +186,7 @@ def _frequencies(df: DataFrame) -> DataFrame:
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["at", "df"])
 
-    return df.mapInArrow(run, "at int, df long").groupBy("at").agg(F.sum("df").alias("df"))
+    return df.mapInArrow(tidy(run), "at int, df long").groupBy("at").agg(F.sum("df").alias("df"))
 
 
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = PER_LABEL) -> Model:
@@ -226,7 +228,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 cols = [*(part.column(f.name) for f in keep), pa.array([s for s, _ in said], type=pa.string()), pa.array([p for _, p in said], type=pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

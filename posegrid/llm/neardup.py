@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, text_bytes
+from .common import Workspace, slices, text_bytes, tidy
 from .components import connected_components
 from .shingles import digests, mix, multipliers, shingles, word_bytes, words
 
@@ -152,7 +152,7 @@ def sketch(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text"
                 )
 
     schema = "doc_id long, n_shingles long, d1 long, d2 long, regs binary"
-    return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(run, schema)
+    return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(tidy(run), schema)
 
 
 def banded(reps: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def banded(reps: DataFrame) -> DataFrame:
                 keys = pa.ListArray.from_arrays(offsets, pa.array(band_keys(regs).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([part.column("id"), keys], names=["id", "bands"])
 
-    return reps.select("id", "regs").mapInArrow(run, "id long, bands array<long>")
+    return reps.select("id", "regs").mapInArrow(tidy(run), "id long, bands array<long>")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
@@ -185,7 +185,7 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 keep = reaches(ra, rb, na, nb, floor)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def fingerprints(texts: DataFrame, width: int) -> DataFrame:
@@ -201,7 +201,7 @@ def fingerprints(texts: DataFrame, width: int) -> DataFrame:
                 packed = [np.unique(short[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(packed, type=pa.binary())], names=["id", "prints"])
 
-    return texts.select("id", "text").mapInArrow(run, "id long, prints binary")
+    return texts.select("id", "text").mapInArrow(tidy(run), "id long, prints binary")
 
 
 def across(members: DataFrame, reps: DataFrame, least: float, once: bool) -> DataFrame:
@@ -279,7 +279,7 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,8 +25,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they decode to, as digests."""
     model = _tokenizer("piece_bpe_32k.model")
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentencepiece_bpe.decode(sentencepiece_bpe.encode(docs, model).drop("text"), model)
-    return both.select(
+    return sentencepiece_bpe.encode(docs, model, decoded="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import by_bytes
+from .common import by_bytes, tidy
 
 SPACE = "▁"
 #: Piece kinds of the model file (fixed values of its format).
@@ -38,7 +38,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Latin letters, within which segments are looked up as words.
 LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 #: Segments and pairs a worker process keeps before it starts afresh.
-KEPT_SEGMENTS, KEPT_PAIRS = 300_000, 500_000
+KEPT_SEGMENTS, KEPT_PAIRS = 100_000, 250_000
 BATCH_BYTES = 4 << 20
 
 codecs.register_error("each_byte", lambda e: ("\ufffd" * (e.end - e.start), e.end))
@@ -256,33 +256,46 @@ def model_bytes(path: str) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add the ids of a text column; `model` is the model file's path on the driver."""
+def _lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(packed) + 1, dtype=np.int32)
+    np.cumsum([len(p) >> 2 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype=np.int32)))
+
+
+def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """Add the ids of a text column, and their decoded text if `decoded` names a column for it.
+
+    `model` is the model file's path on the driver. Decoding along the way needs one
+    worker process a core instead of two.
+    """
     data = df.sparkSession.sparkContext.broadcast(model_bytes(model))  # a vocabulary, half a MB
+    schema = _with(df.schema, ids, T.ArrayType(T.IntegerType()))
+    schema = _with(schema, decoded, T.StringType()) if decoded else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, kept = _loaded(data.value)
         for batch in by_bytes(batches, text, BATCH_BYTES):
             packed = [b"".join(map(kept.__getitem__, net.segments(t or ""))) for t in batch.column(text).to_pylist()]
-            offsets = np.zeros(len(packed) + 1, dtype=np.int32)
-            np.cumsum([len(p) >> 2 for p in packed], out=offsets[1:])
-            values = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32))
-            yield _put(batch, ids, pa.ListArray.from_arrays(pa.array(offsets), values))
+            out = _put(batch, ids, _lists(packed))
+            if decoded:
+                out = _put(out, decoded, pa.array([net.decode(np.frombuffer(p, dtype=np.int32).tolist()) for p in packed], type=pa.string()))
+            yield out
+        kept.clear()  # the next partition has other rare words, and a waiting worker needs no table
+        kept.older = {}
 
-    return df.mapInArrow(run, _with(df.schema, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add the text of an id column."""
+    """Add the text of an id column; null ids have none."""
     data = df.sparkSession.sparkContext.broadcast(model_bytes(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, _ = _loaded(data.value)
         for batch in batches:
-            col = batch.column(ids)
-            offsets, flat = col.offsets.to_numpy(), col.values.to_numpy(zero_copy_only=False)
-            there = col.is_valid().to_numpy(zero_copy_only=False)
-            texts = [net.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], there)]
-            yield _put(batch, text, pa.array(texts, type=pa.string()))
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
+                texts = [None if x is None else net.decode(x) for x in part.column(ids).to_pylist()]
+                yield _put(part, text, pa.array(texts, type=pa.string()))
 
-    return df.mapInArrow(run, _with(df.schema, text, T.StringType()))
+    return df.mapInArrow(tidy(run), _with(df.schema, text, T.StringType()))
