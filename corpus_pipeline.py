@@ -44,9 +44,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = sentencepiece_bpe.encode(docs.select("doc_id", "text"), model).drop("text")
-    decoded = sentencepiece_bpe.decode(encoded, model)
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+    return sentencepiece_bpe.encode(docs.select("doc_id", "text"), model, decoded="decoded").select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
