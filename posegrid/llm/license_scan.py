@@ -7,6 +7,13 @@ sentences left out, and ordered rules are matched against that sequence: a rule
 fits where its identifiers follow each other. The first fitting rule of each
 licence names the evidence. Everything stays in the row, so nothing is shuffled.
 
+A line is a sentence of its own, but known sentences are also found where they are
+wrapped: a single line end without a sentence mark before it may stand for a blank
+of theirs, also with comment markers (signs, not words such as `dnl`) around it.
+They still begin and end at a sentence's or line's edge; of several that begin at
+one place the longest counts, and its lines do not count again. An empty line, or
+one of markers only, always ends a sentence. n_sentences counts lines as before.
+
 Defined results: null text, and text without a known sentence, has empty
 sequences and no licence; a sentence counts as often as it stands; a text of any
 length is read whole; repeated rows give repeated results; other columns pass by.
@@ -65,6 +72,10 @@ RULES: list[tuple[str, str, list[str]]] = [
 ]
 #: Ends of sentences: a line's end, or sentence marks before white space.
 BOUNDARY = r"[.;:!?]*[ \t\r]*\n[ \t\r\n]*|[.;:!?]+[ \t\r]+"
+#: The ends among them that no sentence runs over: sentence marks, empty lines.
+HARD = r"[.;:!?]+[ \t\r]*\n[ \t\r\n]*|[ \t\r]*\n[ \t\r]*\n[ \t\r\n]*|[.;:!?]+[ \t\r]+"
+#: Comment markers at a line's start; some would pass for sentence marks.
+MARKER = r"\n[ \t]*[#*/%;!>|-]+(?=[ \t])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,21 +90,27 @@ def known(sentences: list[tuple[str, str]] = SENTENCES) -> dict[str, str]:
     return {normalise(text): name for name, text in sentences}
 
 
-def _normal(s: Column) -> Column:
-    return F.trim(F.regexp_replace(F.translate(s, _UPPER, _LOWER), "[^a-z0-9]+", " "))
+def _marked(s: Column) -> Column:
+    """Text in normal form, with Z for the ends that no sentence runs over and L for other line ends."""
+    bare = F.regexp_replace(F.translate(s, _UPPER, _LOWER), MARKER, "\n")
+    cut = F.translate(F.regexp_replace(bare, HARD, "Z"), "\n", "L")
+    return F.concat(F.lit("Z"), F.regexp_replace(cut, "[^a-z0-9LZ]+", " "), F.lit("Z"))
+
+
+def _pattern(table: dict[str, str]) -> str:
+    """Known sentences in marked text, the longest first, each between two ends and with at most one line end for a blank."""
+    found = "|".join(t.replace(" ", "(?: | ?L ?)") for t in sorted(table, key=len, reverse=True) if t)
+    return f"(?<=[LZ] ?)(?:{found})(?= ?[LZ])"
 
 
 def scan(df: DataFrame, text: str = "text", sentences: list[tuple[str, str]] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
     """Add n_sentences, sentence_ids, rules and licenses (strings of space-separated names) to the other columns."""
     table = known(sentences)
-    sizes = [len(t) for t in table]
     ids = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
     pieces = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), BOUNDARY), lambda s: F.length(s) > 0)
     out = [c for c in df.columns if c not in ("n_sentences", "sentence_ids", "rules", "licenses")]
-    # Most sentences are told apart by their length alone; normalising may only shorten them.
-    long_enough = F.transform(F.filter("_pieces", lambda s: F.length(s) >= min(sizes)), _normal)
-    fit = F.filter(long_enough, lambda s: F.length(s).isin(*sorted(set(sizes))))
-    named = F.filter(F.transform(fit, lambda s: F.try_element_at(ids, s)), lambda s: s.isNotNull())
+    hits = F.regexp_extract_all(_marked(F.coalesce(F.col(text), F.lit(""))), F.lit(_pattern(table)), F.lit(0))
+    named = F.transform(hits, lambda s: F.element_at(ids, F.regexp_replace(s, "[ L]+", " ")))
     rows = df.withColumn("_pieces", pieces).withColumn("_ids", F.concat(F.lit(" "), F.array_join(named, " "), F.lit(" ")))
     fits = [F.when(F.col("_ids").contains(" " + " ".join(seq) + " "), F.struct(F.lit(rule).alias("rule"), F.lit(licence).alias("licence"))) for rule, licence, seq in rules]
     rows = rows.withColumn("_fits", F.filter(F.array(*fits), lambda r: r.isNotNull()))

@@ -39,6 +39,63 @@ def test_license_brute_force(spark):
         assert got[k] == " ".join(x for x in found if x)
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+BSD = """Copyright (c) 2024, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice.
+"""
+
+
+def test_wrapped_licences(spark):
+    texts, want = [], []
+    for text, ids, rule in ((MIT, "mit-title mit-grant mit-notice", "mit-full"), (GPL, "gpl-free gpl-terms3 gpl-hope", "gpl3-header"), (BSD, "bsd-redistribute", "bsd-clauses")):
+        for first, mark, last in (("", "", ""), ("", "# ", ""), ("/*\n", " * ", " */\n"), ("", "// ", ""), ("", ";; ", ""), ("", "! ", ""), ("", "\t", "")):
+            texts.append(first + "".join((mark + line).rstrip() + "\n" for line in text.splitlines()) + last)
+            want.append((ids, rule))
+        texts += [text.replace("\n", "\r\n"), "Prose before.\n" + text.replace(" ", "\n", 1)]
+        want += [(ids, rule)] * 2
+    for text, ids, rule in (
+        ("Released under\nthe MIT License", "mit-ref", "mit-reference"),
+        ('Licensed under the Apache License, Version 2.0\n(the "License");', "apache2-ref", "apache2-reference"),
+        ("MIT License\nReleased under the MIT License\nMIT License", "mit-title mit-ref mit-title", "mit-reference"),
+        ("Released under\n\nthe MIT license", "", ""),
+        ("# Released under\n#\n# the MIT license", "", ""),
+        ("Released under.\nthe MIT license", "", ""),
+        ("It is not released under\nthe MIT License", "", ""),
+        ("Released under\nthe MIT License of old", "", ""),
+    ):
+        texts.append(text)
+        want.append((ids, rule))
+    got = {r["doc_id"]: (r["sentence_ids"], r["rules"]) for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == want
+
+
 ARTICLE = "<h1>Title &amp; more</h1><p>First long paragraph of the article with many words in it, and so on.<p>Short.<p>Another <b>long</b>\n one with <a href=y>a link</a> in its text, and then some words."
 WANTED = "Title & more\nFirst long paragraph of the article with many words in it, and so on.\nShort.\nAnother long one with a link in its text, and then some words."
 
