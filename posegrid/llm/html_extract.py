@@ -12,7 +12,7 @@ consist mostly of links go as well.
 
 Defined results: null html and html without content give the empty text; character
 references are decoded, also without a semicolon where HTML allows it; unclosed and
-stray tags are accepted; `<br>` is white space; a page of any length is read whole;
+stray tags are accepted; body, text, or a tag that a head can't hold ends an open head; `<br>` is white space; a page of any length is read whole;
 repeated rows give repeated results; other columns are ignored.
 """
 
@@ -33,12 +33,14 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre section summary table tbody td template tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu audio video math frameset".split())
+DROPPED = frozenset("head title nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu audio video math frameset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist note status".split())
 #: Elements that a start tag of the same kind closes.
 CLOSED_BY_OWN = frozenset("p li dt dd tr td th option".split())
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCKS - {"caption", "head", "html", "body", "legend", "option", "optgroup", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "title", "template", "noscript"}
+#: Start tags that leave an open head open.
+IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Class and id words of page parts that are no content.
 _PARTS = (
     "ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|sponsors|promo|promos|promotion|banner|banners|nav|navbar|navigation|navigator|menu|menus|menubar|topbar|breadcrumb|breadcrumbs|"
@@ -116,6 +118,8 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
+        if self.open["head"] and (tag == "body" or self.stack[-1][0] == "head" and tag not in IN_HEAD):
+            self.close_head()
         if tag in BLOCKS:
             self.end_line()
             if tag in CLOSED_BY_OWN and self.stack[-1][0] == tag:
@@ -142,6 +146,10 @@ class _Lines(HTMLParser):
                 self.end_line()
             self.off = len(self.stack)
 
+    def close_head(self) -> None:
+        while self.open["head"]:
+            self.pop("head")
+
     def close_p(self) -> None:
         """A block ends an open paragraph, with all inline elements in it, unless another block stands between."""
         for name, _, _ in reversed(self.stack):
@@ -162,6 +170,8 @@ class _Lines(HTMLParser):
             self.pop(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1][0] == "head" and data.strip():
+            self.close_head()
         if not self.off:
             self.text.append(data)
             if self.open["a"]:

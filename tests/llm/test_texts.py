@@ -113,6 +113,24 @@ def test_main_text(page):
     assert html_extract.extract(page) == WANTED
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=utf-8><style>p{{}}</style><body><article>{ARTICLE}</article></body></html>",
+        f"<html><head><title>T</title><noscript><p>Switch scripts on</p></noscript><script>var a='<body>';</script>\n<body><nav><a href=/>Home</a></nav>{ARTICLE}</body></html>",
+        f"<head><link rel=icon href=x><template><p>Not shown</p></template><div>{ARTICLE}</div>",
+        f"<head><meta name=a><img src=x><title>T</title><main>{ARTICLE}</main>",
+        f"<!DOCTYPE html><title>T</title>{ARTICLE}",
+    ],
+)
+def test_open_head(page):
+    assert html_extract.extract(page) == WANTED
+
+
+def test_text_ends_head():
+    assert html_extract.extract("<html><head><title>T</title>\nPlain text of a page without any more tags") == "Plain text of a page without any more tags"
+
+
 def test_page_edges(spark):
     long = "<article><p>" + "word " * 50_000 + "</article>"
     data = [(1, "u", None), (2, None, ""), (3, "u", "plain &lt; text"), (4, "u", "<nav>x</nav>"), (5, "u", "<p>a&amp"), (6, "u", long), (6, "u", long), (7, "u", "</div></p><b>"), (8, "u", "<!-- <p>x</p> -->")]
