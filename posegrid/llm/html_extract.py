@@ -222,7 +222,7 @@ def extract(html: str | None) -> str:
     while e >= 0:
         sure |= page.kinds[e] in ("article", "main")
         e = page.parents[e]
-    return "\n".join(t for (t, _, linked, e), ok in zip(lines, chosen) if inside[e] and (sure or linked <= 0.6 * len(t)))
+    return "\n".join(t for (t, _, linked, e), ok in zip(lines, chosen) if inside[e] and (sure or ok or linked <= 0.6 * len(t)))
 
 
 def _region(page: _Lines, mass: list[int]) -> int:

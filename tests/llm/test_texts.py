@@ -131,6 +131,17 @@ def test_text_ends_head():
     assert html_extract.extract("<html><head><title>T</title>\nPlain text of a page without any more tags") == "Plain text of a page without any more tags"
 
 
+def test_link_rich_lines():
+    """Without an article, a line of links that clusters as content stays, and one far from it goes."""
+    prose = "A paragraph of the main text with a good many words in it, as articles have them."
+    sources = "<a href=/1>A first source with a long title of its own</a>, <a href=/2>a second source, also with a long title</a>"
+    menu = "".join(f"<p><a href=/{k}>{k}</a></p>" for k in range(12))
+    page = f"<body><div><p>{prose}</p><p>{sources}</p><p>{prose}</p><p>{prose}</p>{menu}</div></body>"
+    links = re.sub("<.*?>", "", sources)
+    got = html_extract.extract(page).split("\n")
+    assert got[:4] == [prose, links, prose, prose] and "11" not in got
+
+
 def test_page_edges(spark):
     long = "<article><p>" + "word " * 50_000 + "</article>"
     data = [(1, "u", None), (2, None, ""), (3, "u", "plain &lt; text"), (4, "u", "<nav>x</nav>"), (5, "u", "<p>a&amp"), (6, "u", long), (6, "u", long), (7, "u", "</div></p><b>"), (8, "u", "<!-- <p>x</p> -->")]
