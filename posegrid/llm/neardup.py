@@ -14,8 +14,10 @@ two sets with a probability close to their Jaccard similarity.
 4. In buckets that still hold several components, the members outside the
    largest one meet all members of other components, in blocks of bounded size
    that yield only the likely pairs. Where that would be too much work, the bucket
-   is split by every later band and goes back to 3. So no bucket is capped, and
-   none compares pairs within a component.
+   is first split by every later band, which goes back to 3 and leaves fewer
+   components. Then what is still mixed in the whole bucket meets in blocks too,
+   whatever the work. So no bucket is capped, pairs are lost at no size, and none
+   are compared within a component.
 
 A pair at the threshold shares no band with probability (1 - s^r)^bands: for the
 defaults 3e-7 at 0.8 and 2e-9 at 0.85; the likelihood filter leaves six standard
@@ -46,7 +48,7 @@ ROWS, BANDS = 5, 36
 M = ROWS * BANDS
 #: Members of a block, and comparisons up to which a bucket is not split by a further band.
 BLOCK, WORK = 1024, 1 << 23
-#: So many times a bucket is split by a further band; what is still mixed is then compared in blocks, whatever the work.
+#: So many times a bucket is split by a further band before what is still mixed in it is compared in blocks, whatever the work.
 LEVELS = 3
 #: Standard errors by which the likelihood estimate may fall short of the threshold.
 ROOM = 6.0
@@ -308,31 +310,35 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: st
     stars = met.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
     links = links_of(likely(stars, seen, percent / 100))
     labels = work.save(connected_components(links, work), "labels")
-    level, hot = 0, met.where("size > 2").select("bucket", "band", "id")
+    level, hot, whole = 0, met.where("size > 2").select("bucket", "band", "id"), None
     while True:
         named = hot.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("label"))
         sizes = named.groupBy("bucket", "label").count().groupBy("bucket")
         mixed = sizes.agg(F.sum("count").alias("size"), F.max_by("label", F.struct("count", "label")).alias("top"), (F.sum("count") - F.max("count")).alias("rest")).where("rest > 0")
         open_ = work.save(named.join(mixed, "bucket"), "open")
-        near = F.col("size") * F.col("rest") <= WORK if level < LEVELS else F.lit(True)
+        near = F.col("size") * F.col("rest") <= WORK if level <= LEVELS else F.lit(True)
         counts = open_.agg(F.count_if(near), F.count_if(~near)).first()
-        if not (counts[0] or counts[1]):
+        if not level and counts[1]:
+            whole = open_.where(~near).select("bucket", "band", "id")
+        split = counts[1] and level < LEVELS
+        if counts[0] or split:
+            pairs = across(open_.where(near), seen, percent / 100, level in (0, LEVELS + 1))
+            if split:
+                large = open_.where(~near).select("bucket", "band", "id")
+                keyed = large.join(banded(seen), "id").select("id", "bucket", "band", F.posexplode("bands")).where("pos > band")
+                keyed = keyed.select("id", F.col("pos").alias("band"), F.xxhash64("bucket", "col").alias("bucket"))
+                finer = work.save(keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("center")).where("size > 1"), "bucket"), "finer")
+                stars = finer.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+                pairs = pairs.unionByName(likely(stars, seen, percent / 100)).distinct()
+            found = links_of(work.save(pairs, "pairs"))
+            links = work.save(links.unionByName(found), "links")
+            labels = work.save(connected_components(links, work), "labels")
+        if split:
+            level, hot = level + 1, finer.where("size > 2").select("bucket", "band", "id")
+        elif whole is not None:
+            level, hot, whole = LEVELS + 1, whole, None
+        else:
             break
-        pairs = across(open_.where(near), seen, percent / 100, level == 0)
-        if counts[1]:
-            level += 1
-            large = open_.where(~near).select("bucket", "band", "id")
-            keyed = large.join(banded(seen), "id").select("id", "bucket", "band", F.posexplode("bands")).where("pos > band")
-            keyed = keyed.select("id", F.col("pos").alias("band"), F.xxhash64("bucket", "col").alias("bucket"))
-            finer = work.save(keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("center")).where("size > 1"), "bucket"), "finer")
-            stars = finer.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
-            pairs = pairs.unionByName(likely(stars, seen, percent / 100)).distinct()
-        found = links_of(work.save(pairs, "pairs"))
-        links = work.save(links.unionByName(found), "links")
-        labels = work.save(connected_components(links, work), "labels")
-        if not counts[1]:
-            break
-        hot = finer.where("size > 2").select("bucket", "band", "id")
     named = reps.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
     result = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     result = result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

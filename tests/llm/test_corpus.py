@@ -71,6 +71,18 @@ def test_near_duplicates(spark, monkeypatch, width, percent, seed, block, work):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_hot_buckets_lose_nothing(spark, monkeypatch):
+    """Pairs that share only the hot bucket's band are found as in small tables."""
+    r = random.Random(4)
+    rows = [(k, " ".join(r.sample([f"w{j}" for j in range(60)], 40)), "x", 1) for k in range(120)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = []
+    for work in (1 << 23, 0):
+        monkeypatch.setattr(neardup, "WORK", work)
+        found.append({(x["doc_id"], x["component_id"]) for x in neardup.near_duplicates(df, 1, 62).collect()})
+    assert found[0] == found[1] and 1 < len({c for _, c in found[0]}) < 120
+
+
 def test_near_duplicate_edges(spark):
     df = spark.createDataFrame([(None, "a b c d e f", "", 0), (7, "a b c d e f", "", 0), (7, "a b c d e f", "", 0), (3, None, "", 0), (None, None, "", 0)], SCHEMA)
     got = sorted(((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in neardup.near_duplicates(df).collect()))
