@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Drops documents without a letter and those whose language stays unsure."""
     model = language_id.train(docs)
     if not model.labels:
-        return docs  # nothing to learn from, so nothing to judge by
+        return docs.where(F.col("text").rlike(r"\p{L}"))  # nothing to learn languages from
     found = language_id.identify(docs, model)
     return found.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= MIN_SCORE)).select(docs.columns)
 

@@ -170,6 +170,13 @@ def test_language_id(spark):
     assert (model.weights == 0).mean() > 0.5  # the elastic net leaves most weights at zero
 
 
+def test_no_letter_no_label(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(1, "a b", None), (2, "12 !?", None), (3, "", None), (4, None, None), (5, "1é", None)], "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, "").collect()) == [1, 5]
+
+
 def slow_judge(url):
     rest = url.split("://", 1)[1] if url and "://" in url else ""
     host = re.match(r"[^/?#]*", rest).group().translate({c: c + 32 for c in range(65, 91)})
