@@ -1,19 +1,27 @@
 """Main text of HTML pages by text-to-tag ratios.
 
 The standard library's streaming parser gives events; every block-level tag ends a
-line. A line's ratio is its characters over its tags. Ratios are smoothed with a
-Gaussian, and lines above a threshold of the page's own spread cluster as content.
-The content cluster selects the region: the smallest element that holds nearly all
-of it, with an article or main element preferred. All lines of that region
-are returned, except those inside menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments, which tags, roles and class
-or id names tell. Outside an article or main element, unclustered lines that
-consist mostly of links go as well.
+line. A line's ratio is its characters over its tags. Ratios of all visible lines,
+menus and footers too, are smoothed with a Gaussian, and lines above a threshold of
+the page's own spread cluster as content. Each element then gains the characters of
+the clustered lines in it and loses those of other lines: link text and the text of
+page parts wholly, other text by a fifth.
+
+Regions: all outermost article and main elements with a gain, if together they gain
+at least half as much as the best element; so such tags are a hint, and one without
+content (a teaser, say) is no region. Else the smallest element within the best that
+gains nearly as much. All lines of the regions are returned, except those in menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, which
+tags, roles and class or id names tell. Outside an article or main element,
+unclustered lines that consist mostly of links go as well.
 
 Defined results: null html and html without content give the empty text; character
 references are decoded, also without a semicolon where HTML allows it; unclosed and
-stray tags are accepted; body, text, or a tag that a head can't hold ends an open head; `<br>` is white space; a page of any length is read whole;
-repeated rows give repeated results; other columns are ignored.
+stray tags are accepted; body, text, or a tag that a head can't hold ends an open
+head; `<br>` is white space; inline elements never cut a line, dropped ones neither;
+a tag or comment that the page's end cuts off is ignored, `<![...>` is a comment;
+`/>` closes svg and math and what stands in them, nothing else; a page of any length
+is read whole; repeated rows give repeated results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -33,27 +42,34 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav noscript ol optgroup option p pre section summary table tbody td template tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head title nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu audio video math frameset".split())
+DROPPED = frozenset("head title nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu audio video frameset".split())
+#: Dropped elements whose text no reader sees; it makes no line.
+UNSEEN = frozenset("head title script style noscript template iframe object svg canvas select textarea audio video frameset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist note status".split())
 #: Elements that a start tag of the same kind closes.
 CLOSED_BY_OWN = frozenset("p li dt dd tr td th option".split())
+#: Elements that hold one block of text, too small for a region.
+SMALL = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th pre blockquote figcaption caption summary legend address".split())
 #: Start tags that end an open paragraph.
 ENDS_P = BLOCKS - {"caption", "head", "html", "body", "legend", "option", "optgroup", "summary", "td", "th", "tr", "tbody", "thead", "tfoot", "title", "template", "noscript"}
+#: Elements of other vocabularies, in which `/>` closes.
+FOREIGN = ("svg", "math")
 #: Start tags that leave an open head open.
 IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 #: Class and id words of page parts that are no content.
 _PARTS = (
-    "ad|ads|adv|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|sponsors|promo|promos|promotion|banner|banners|nav|navbar|navigation|navigator|menu|menus|menubar|topbar|breadcrumb|breadcrumbs|"
-    "footer|foot|footnav|colophon|copyright|masthead|sidebar|sidebars|aside|rail|widget|widgets|related|recommended|recommendations|trending|popular|share|sharing|social|"
-    "cookie|cookies|consent|notice|notices|notification|alert|gdpr|privacy|disclaimer|popup|modal|overlay|newsletter|subscribe|subscription|signup|signin|login|paywall|"
-    "comment|comments|commentlist|comment-list|disqus|reply|replies|respond|discussion|reviews|reader|readers|feedback|pagination|pager|search|searchbox|toolbar|skip|teaser|teasers|outbrain|taboola|legal"
+    "ad|ads|advert|adverts|advertisement|advertising|adsense|adslot|sponsor|sponsored|promo|banner|nav|navbar|navigation|menu|menubar|topbar|breadcrumb|breadcrumbs|"
+    "footer|masthead|sidebar|widget|related|recommended|share|sharing|social|cookie|cookies|consent|notice|notices|gdpr|popup|modal|newsletter|subscribe|signup|login|paywall|"
+    "comment|comments|commentlist|disqus|respond|pagination|pager|searchbox|toolbar|teaser"
 )
 _HEADERS = "header|head|pageheader|siteheader|top"
 _PART = re.compile(rf"(?:{_PARTS})(?:[-_]?\d+)?$|(?:{_PARTS})[-_]|.*[-_](?:{_PARTS})(?:[-_]?\d+)?$")
 _HEADER = re.compile(rf"(?:site|page|main|top|global)?[-_]?(?:{_HEADERS})(?:[-_](?:bar|wrap|wrapper|inner|container))?$")
 _NEGATED = re.compile(r"(?:no|has|with|without|hide|show|is)[-_]")
-#: Smoothing reach and spread in lines, share of the spread that the threshold is, share of content that a region must hold.
+#: Smoothing reach and spread in lines, share of the spread that the threshold is, share of the best gain that a region must reach.
 REACH, SIGMA, THRESHOLD, HOLDS = 3, 1.0, 0.5, 0.85
+#: What unclustered text without links loses, and share of the best gain from which articles are the regions.
+LOSS, HINT = 0.2, 0.5
 _KERNEL = [math.exp(-k * k / (2 * SIGMA * SIGMA)) for k in range(-REACH, REACH + 1)]
 
 
@@ -83,28 +99,41 @@ def _is_part(tag: str, attrs: list[tuple[str, str | None]], in_article: bool) ->
     return False
 
 
+@dataclass
+class Line:
+    """Text between two block-level tags, in the innermost block element; `part` if it stands in a page part without content."""
+
+    text: str
+    tags: int
+    linked: int
+    element: int
+    part: bool
+
+
 class _Lines(HTMLParser):
-    """Lines of a page: (text, tags, link characters, innermost element)."""
+    """Lines and block elements of a page, which is fed in one piece."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[Line] = []
         self.parents: list[int] = [-1]
         self.kinds: list[str] = [""]
         self.stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, inside an article
         self.open: Counter[str] = Counter()
         self.off = 0  # depth of the stack at which a dropped part began
-        self.text: list[str] = []
-        self.tags = self.linked = 0
+        self.unseen = False  # whether that part is invisible
+        self.text: tuple[list[str], list[str]] = ([], [])  # of content and of page parts
+        self.linked = [0, 0]
+        self.tags = 0
 
     def end_line(self) -> None:
-        if self.text:
-            text = " ".join("".join(self.text).split())
+        for part in (0, 1):
+            text = " ".join("".join(self.text[part]).split())
             if text:
-                self.lines.append((text, self.tags, self.linked, self.stack[-1][1]))
+                self.lines.append(Line(text, self.tags, min(self.linked[part], len(text)), self.stack[-1][1], bool(part)))
                 self.tags = 0
-            self.text = []
-        self.linked = 0
+            self.text[part].clear()
+            self.linked[part] = 0
 
     def pop(self, tag: str) -> None:
         """Close everything down to the innermost open `tag`."""
@@ -126,25 +155,23 @@ class _Lines(HTMLParser):
                 self.pop(tag)
             elif tag in ENDS_P and self.open["p"]:
                 self.close_p()
-        elif tag == "br" and not self.off:
-            self.text.append(" ")
+        elif tag == "br":
+            self.handle_data(" ")
         if tag in VOID:
             return
         inside = self.stack[-1][2] or tag in ("article", "main")
-        if self.off:
-            element = self.stack[-1][1]
-        elif tag in BLOCKS:
-            element = len(self.parents)
-            self.parents.append(self.stack[-1][1])
-            self.kinds.append(tag)
-        else:
-            element = self.stack[-1][1]
+        element = self.stack[-1][1]
+        if tag in BLOCKS:
+            self.parents.append(element)
+            self.kinds.append("" if self.off else tag)
+            element = len(self.parents) - 1
         self.stack.append((tag, element, inside))
         self.open[tag] += 1
         if not self.off and _is_part(tag, attrs, inside and tag != "article"):
-            if tag not in BLOCKS and tag not in ("script", "style"):
-                self.end_line()
-            self.off = len(self.stack)
+            self.off, self.unseen = len(self.stack), False
+            self.kinds[element] = "" if tag in BLOCKS else self.kinds[element]
+        if tag in UNSEEN and self.off == len(self.stack):
+            self.unseen = True
 
     def close_head(self) -> None:
         while self.open["head"]:
@@ -160,7 +187,10 @@ class _Lines(HTMLParser):
                 return
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
+        if tag in FOREIGN or any(self.open[f] > 0 for f in FOREIGN):
+            self.tags += 1
+        else:
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -172,10 +202,34 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.stack[-1][0] == "head" and data.strip():
             self.close_head()
-        if not self.off:
-            self.text.append(data)
-            if self.open["a"]:
-                self.linked += len(data)
+        if self.off and self.unseen:
+            return
+        part = 1 if self.off else 0
+        self.text[part].append(data)
+        if self.open["a"]:
+            self.linked[part] += len(data)
+
+    # The whole page is there, so what the parser calls incomplete is cut off by the page's end.
+
+    def _to_end(self, k: int) -> int:
+        return k if k >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i: int) -> int:
+        return self._to_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self._to_end(super().parse_endtag(i))
+
+    def parse_comment(self, i: int, report: bool = True) -> int:
+        return self._to_end(super().parse_comment(i, report))
+
+    def parse_pi(self, i: int) -> int:
+        return self._to_end(super().parse_pi(i))
+
+    def parse_html_declaration(self, i: int) -> int:
+        if self.rawdata.startswith("<![", i):
+            return self._to_end(self.parse_bogus_comment(i))
+        return self._to_end(super().parse_html_declaration(i))
 
 
 def content_lines(ratios: list[float]) -> list[bool]:
@@ -194,6 +248,47 @@ def content_lines(ratios: list[float]) -> list[bool]:
     return [s >= THRESHOLD * spread for s in smooth]
 
 
+def gains(page: _Lines, chosen: list[bool]) -> list[float]:
+    """What each element gains by the clustered lines in it and loses by the others."""
+    out = [0.0] * len(page.parents)
+    for line, ok in zip(page.lines, chosen):
+        n = len(line.text)
+        if line.part:
+            out[line.element] -= n
+        elif ok:
+            out[line.element] += n
+        else:
+            out[line.element] -= line.linked + LOSS * (n - line.linked)
+    for e in range(len(out) - 1, 0, -1):  # an element's number exceeds its parent's
+        out[page.parents[e]] += out[e]
+    return out
+
+
+def regions(page: _Lines, gain: list[float]) -> list[int]:
+    """The elements of the content: the articles with a gain, or the smallest element that gains nearly as much as the best."""
+    children: list[list[int]] = [[] for _ in gain]
+    hinted = [False] * len(gain)
+    outer = []
+    for e in range(1, len(gain)):
+        children[page.parents[e]].append(e)
+        hinted[e] = hinted[page.parents[e]]
+        if not hinted[e] and page.kinds[e] in ("article", "main"):
+            hinted[e] = True
+            if gain[e] > 0:
+                outer.append(e)
+    at = max(range(len(gain)), key=lambda e: (gain[e], e))
+    if outer and sum(gain[e] for e in outer) >= HINT * gain[at]:
+        return outer
+    best = gain[at]
+    while page.kinds[at] in SMALL:  # a line of text is no region by itself
+        at = page.parents[at]
+    while True:
+        below = max(children[at], key=lambda e: gain[e], default=None)
+        if below is None or gain[below] < HOLDS * best or page.kinds[below] in SMALL:
+            return [at]
+        at = below
+
+
 def extract(html: str | None) -> str:
     """Main text of one page."""
     if not html:
@@ -202,47 +297,17 @@ def extract(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.end_line()
-    lines = page.lines
-    if not lines:
+    if not any(not line.part for line in page.lines):
         return ""
-    chosen = content_lines([len(t) / max(tags, 1) for t, tags, _, _ in lines])
-    count = len(page.parents)
-    mass = [0] * count
-    for (t, _, linked, e), ok in zip(lines, chosen):
-        if ok:
-            mass[e] += max(len(t) - linked, 1)
-    for e in range(count - 1, 0, -1):  # an element's number exceeds its parent's
-        mass[page.parents[e]] += mass[e]
-    region = _region(page, mass)
-    inside = [False] * count
-    inside[region] = True
-    for e in range(region + 1, count):
-        inside[e] = inside[page.parents[e]]
-    e, sure = region, False
-    while e >= 0:
-        sure |= page.kinds[e] in ("article", "main")
-        e = page.parents[e]
-    return "\n".join(t for (t, _, linked, e), ok in zip(lines, chosen) if inside[e] and (sure or ok or linked <= 0.6 * len(t)))
-
-
-def _region(page: _Lines, mass: list[int]) -> int:
-    """The element of the content: the heaviest article or main, if it holds most, else the smallest that holds nearly all."""
-    total = mass[0]
-    for kind in ("article", "main"):
-        found = [e for e, k in enumerate(page.kinds) if k == kind]
-        if found:
-            best = max(found, key=lambda e: (mass[e], -e))
-            if mass[best] >= 0.5 * total:
-                return best
-    children: dict[int, list[int]] = {}
-    for e in range(1, len(mass)):
-        children.setdefault(page.parents[e], []).append(e)
-    at = 0
-    while True:
-        below = max(children.get(at, ()), key=lambda e: mass[e], default=None)
-        if below is None or mass[below] < HOLDS * total or page.kinds[below] in ("p", "li", "h1", "h2", "h3", "td", "pre", "blockquote"):
-            return at
-        at = below
+    chosen = content_lines([len(line.text) / max(line.tags, 1) for line in page.lines])
+    inside = [False] * len(page.parents)
+    for e in regions(page, gains(page, chosen)):
+        inside[e] = True
+    sure = [False] * len(inside)
+    for e in range(1, len(inside)):
+        inside[e] |= inside[page.parents[e]]
+        sure[e] = sure[page.parents[e]] or page.kinds[e] in ("article", "main")
+    return "\n".join(x.text for x, ok in zip(page.lines, chosen) if inside[x.element] and not x.part and (sure[x.element] or ok or x.linked <= 0.6 * len(x.text)))
 
 
 def extract_pages(df: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
