@@ -12,7 +12,8 @@ exceeds a floor, begins a new shot.
 
 Defined results: null or empty text has no bytes and becomes one frame of filling
 bytes; equal texts give equal files; a file of any length is stored and read whole;
-a null file has a null payload and no clips; damaged files raise an error.
+a null file has a null payload and no clips; so has a damaged one, and one of
+another format, and `error` says what is wrong with it; other rows are not touched.
 """
 
 from __future__ import annotations
@@ -311,15 +312,40 @@ def encode_avi(df: DataFrame, text: str = "text", media: str = "media") -> DataF
     return df.mapInArrow(run, T.StructType([*keep, T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())]))
 
 
-def _files(batches: Iterator[pa.RecordBatch], media: str) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def _files(batches: Iterator[pa.RecordBatch], media: str) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
     for batch in batches:
-        batch = batch.filter(batch.column(media).is_valid())
-        sizes = np.concatenate([[0], np.cumsum([len(x.as_buffer()) for x in batch.column(media)])]) if batch.num_rows else [0]
-        for a, b in slices(np.asarray(sizes), BATCH_BYTES) if batch.num_rows else ():
+        if not batch.num_rows:
+            continue
+        col = batch.column(media)
+        sizes = np.concatenate([[0], np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in col])])
+        for a, b in slices(sizes, BATCH_BYTES):
             part = batch.slice(a, b - a)
             yield part, part.column(media).to_pylist()
 
 
+def _loaded(files: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[float], list[str | None]]:
+    """As `load`, with what is wrong with each file; null and damaged files have no frames."""
+    present = [f for f in files if f is not None]
+    try:
+        if len(present) == len(files):
+            return *load(files), [None] * len(files)
+        raise ValueError("null file")
+    except (ValueError, IndexError, KeyError, struct.error):  # one by one, to tell which
+        frames, bounds, rates, errors = [], [0], [], []
+        for data in files:
+            error, one, rate = None, np.zeros((0, SIDE, SIDE), np.uint8), [0.0]
+            if data is not None:
+                try:
+                    one, _, rate = load([data])
+                except (ValueError, IndexError, KeyError, struct.error) as e:
+                    error = f"{type(e).__name__}: {e}"
+            frames.append(one)
+            bounds.append(bounds[-1] + len(one))
+            rates.append(rate[0])
+            errors.append(error)
+        return np.concatenate(frames) if frames else np.zeros((0, SIDE, SIDE), np.uint8), np.array(bounds), rates, errors
+
+
 def clips(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per shot of a file: the other columns and clip, first_frame, n_frames, start_s, end_s."""
     keep = [f for f in df.schema.fields if f.name not in (media, "clip", "first_frame", "n_frames", "start_s", "end_s")]
@@ -327,9 +353,9 @@ def clips(df: DataFrame, media: str = "media") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, files in _files(batches, media):
-            frames, bounds, rates = load(files)
+            frames, bounds, rates, _ = _loaded(files)
             begins = np.flatnonzero(shots(frames, bounds))
-            ends = np.concatenate([begins[1:], [len(frames)]])
+            ends = np.concatenate([begins[1:], [len(frames)]])[: len(begins)]
             of = np.searchsorted(bounds, begins, side="right") - 1
             clip = np.arange(len(begins)) - np.searchsorted(begins, bounds[:-1])[of]
             rate = np.array(rates)[of]
@@ -342,26 +368,32 @@ def clips(df: DataFrame, media: str = "media") -> DataFrame:
 
 
 def features(df: DataFrame, media: str = "media") -> DataFrame:
-    """Per stored file, read back: the other columns and the payload's and file's digests, and `feature`, the shots' first frames."""
-    keep = [f for f in df.schema.fields if f.name != media]
+    """Per stored file, read back: the other columns and the payload's and file's digests, `feature`, the shots' first frames, and `error`. Columns of these names are replaced."""
+    made = {"payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"}
+    keep = [f for f in df.schema.fields if f.name != media and f.name not in made]
     more = (
-        T.StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string")
+        T.StructType().add("payload_bytes", "long").add("payload_sha256", "string").add("tail_crc32", "long").add("media_bytes", "long").add("media_sha256", "string").add("feature", "string").add("error", "string")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, files in _files(batches, media):
-            frames, bounds, rates = load(files)
+            frames, bounds, rates, errors = _loaded(files)
             begin = shots(frames, bounds)
             raw = memoryview(frames.reshape(-1))
             cols: list[list] = [[] for _ in more.names]
             for k, data in enumerate(files):
                 a, b = int(bounds[k]), int(bounds[k + 1])
+                if a == b:
+                    stored = (None, None) if data is None else (len(data), hashlib.sha256(data).hexdigest())
+                    for col, value in zip(cols, (None, None, None, *stored, None, errors[k])):
+                        col.append(value)
+                    continue
                 payload = raw[a * SAMPLES : b * SAMPLES]
                 cuts = np.flatnonzero(begin[a:b]).tolist()
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={b - a};rate={rates[k]:g};shots={','.join(map(str, cuts))}")
+                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={b - a};rate={rates[k]:g};shots={','.join(map(str, cuts))}", None)
                 for col, value in zip(cols, row):
                     col.append(value)
-            arrays = [pa.array(c, type=pa.string() if isinstance(c[0], str) else pa.int64()) for c in cols]
+            arrays = [pa.array(c, type=pa.string() if f.dataType.typeName() == "string" else pa.int64()) for c, f in zip(cols, more)]
             yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in keep), *arrays], names=[*(f.name for f in keep), *more.names])
 
     return df.mapInArrow(run, T.StructType([*keep, *more.fields]))
