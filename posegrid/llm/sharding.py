@@ -5,8 +5,12 @@ equal texts lie side by side and a group is cut only where balance asks for it.
 Splitters are found without moving rows: each pass counts the exact bytes of all
 keys by the next digits of the keys around each open splitter, until a
 candidate boundary lies within the tolerance of its target, or one row or key is
-left. Only such counts, at most digits x splitters numbers, reach the driver. Then
-rows learn their range by a lookup and are exchanged once.
+left. Only such counts, at most 64 for each open splitter and pass, reach the driver.
+Then rows learn their range by a lookup and are exchanged once.
+
+By law `bytes` a shard's boundary lies within TOLERANCE of its target, or at the
+nearer edge of the one row that spans the target; so a shard's size can differ from
+the mean by TOLERANCE or by the size of its largest row, whichever is more.
 
 Each shard consists of several ranges, so that no task sorts a whole shard; a
 row's slot is its place in its range plus the rows of the shard's earlier ranges.
@@ -28,7 +32,10 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 #: Bits by which a pass refines the text hash and then doc_id.
-HASH_DIGITS, ID_DIGITS = (12, 12, 12, 12, 12, 4), (16, 16, 16, 16)
+HASH_DIGITS, ID_DIGITS = (6,) * 10 + (4,), (6,) * 10 + (4,)
+LEVELS = len(HASH_DIGITS) + len(ID_DIGITS)
+#: Leading bits of the text hash by which rows look up their range.
+LOOKUP_BITS = 12
 #: Error allowed to a shard's boundary, in shares of a shard, and to a range's boundary inside it, in shares of a range.
 TOLERANCE, LOOSE = 0.0005, 0.1
 #: Rows a range should have; ranges per shard at least and at most.
@@ -69,7 +76,7 @@ def _digit(level: int) -> Column:
 def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[tuple[int, int]]:
     """For each (target, tolerance), ascending, a key (h, i) with about so much weight `w` below it."""
     open_ = [_Splitter(t, tol) for t, tol in targets]
-    for level in range(len(HASH_DIGITS) + len(ID_DIGITS)):
+    for level in range(LEVELS):
         now = [s for s in open_ if s.found is None and len(s.prefix) == level]
         if not now:
             continue
@@ -80,24 +87,21 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[tuple
             part = part.withColumns({n: _digit(k) for k, n in enumerate(names)})
             local = keys.sparkSession.createDataFrame(wanted, ", ".join(f"{n} long" for n in names))
             part = part.join(F.broadcast(local), names, "left_semi")  # one row per open splitter
-        counted = part.groupBy(*names, _digit(level).alias("d")).agg(F.sum("w").alias("w"), F.count("*").alias("n"), F.min("h").alias("h"), F.max("h").alias("most")).collect()
+        counted = part.groupBy(*names, _digit(level).alias("d")).agg(F.sum("w").alias("w"), F.count("*").alias("n"), *(f(c).alias(n) for n, f, c in (("h0", F.min, "h"), ("h1", F.max, "h"), ("i0", F.min, "i"), ("i1", F.max, "i")))).collect()
         inside: dict[tuple, list] = defaultdict(list)
         for r in counted:
-            inside[tuple(r[n] for n in names)].append((r["d"], r["w"], r["n"], r["h"] if r["h"] == r["most"] else None))
+            inside[tuple(r[n] for n in names)].append((r["d"], r["w"], r["n"], _common(r["h0"], r["h1"], r["i0"], r["i1"])))
         for buckets in inside.values():
             buckets.sort(key=lambda b: b[0])
-        last = level + 1 == len(HASH_DIGITS) + len(ID_DIGITS)
         for s in now:
             below = s.below
-            for d, w, n, h in inside[s.prefix]:
+            for d, w, n, prefix in inside[s.prefix]:
                 if below + w >= s.target:
                     near, far = s.target - below, below + w - s.target
-                    if near <= s.tolerance or far <= s.tolerance or n == 1 or last:
+                    if near <= s.tolerance or far <= s.tolerance or n == 1 or len(prefix) == LEVELS:
                         s.found = _key([*s.prefix, d]) if near <= far else _after([*s.prefix, d])
                     else:
-                        s.prefix, s.below = (*s.prefix, d), below
-                        if h is not None and level < len(HASH_DIGITS):  # one text: on to its ids
-                            s.prefix = _digits(h)
+                        s.prefix, s.below = prefix, below  # digits that all these keys share need no pass
                     break
                 below += w
             else:
@@ -105,12 +109,16 @@ def splitters(keys: DataFrame, targets: list[tuple[float, float]]) -> list[tuple
     return [s.found for s in open_]
 
 
-def _digits(h: int) -> tuple[int, ...]:
-    """All digits of a text hash."""
-    out, left = [], 64
-    for bits in HASH_DIGITS:
-        left -= bits
-        out.append((h - _MIN) >> left & ((1 << bits) - 1))
+def _common(h0: int, h1: int, i0: int, i1: int) -> tuple[int, ...]:
+    """Leading digits shared by all keys whose hashes and ids lie in these ranges."""
+    out: list[int] = []
+    for low, high, digits in ((h0, h1, HASH_DIGITS), (i0, i1, ID_DIGITS)):
+        left = 64
+        for bits in digits:
+            left -= bits
+            if (low - _MIN) >> left != (high - _MIN) >> left:
+                return tuple(out)
+            out.append((low - _MIN) >> left & ((1 << bits) - 1))
     return tuple(out)
 
 
@@ -149,17 +157,17 @@ def shard(df: DataFrame, shards: int = 16, law: str = "bytes", doc_id: str = "do
     exact = 0.5 if law == "rows" else TOLERANCE * total["w"] / shards
     targets = [(total["w"] * k / parts, exact if k % per == 0 else LOOSE * total["w"] / parts) for k in range(1, parts)]
     cuts = sorted(splitters(keys, targets)) if total["n"] else []
-    # Lookup by the first digit of the hash: splitters before it, and those inside it; 4,096 rows at most.
+    # Lookup by the first bits of the hash: splitters before it, and those inside it; 4,096 rows at most.
     inside: dict[int, list[tuple[int, int]]] = defaultdict(list)
     for h, i in cuts:
-        inside[(h - _MIN) >> (64 - HASH_DIGITS[0])].append((h, i))
+        inside[(h - _MIN) >> (64 - LOOKUP_BITS)].append((h, i))
     rows, before = [], 0
-    for d in range(1 << HASH_DIGITS[0]):
+    for d in range(1 << LOOKUP_BITS):
         rows.append((d, before, inside.get(d, [])))
         before += len(inside.get(d, []))
     lookup = F.broadcast(spark.createDataFrame(rows, "d long, before int, cuts array<struct<h: long, i: long>>"))
     passed = F.filter("cuts", lambda s: (s["h"] < F.col("h")) | ((s["h"] == F.col("h")) & (s["i"] <= F.col("i"))))
-    ranged = keys.withColumn("d", _digit(0)).join(lookup, "d").withColumn("range", F.col("before") + F.size(passed))
+    ranged = keys.withColumn("d", F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(_MIN)), 64 - LOOKUP_BITS)).join(lookup, "d").withColumn("range", F.col("before") + F.size(passed))
     counts = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}  # one row a range
     starts, at = [], 0
     for r in range(parts):
