@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -34,24 +35,52 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/posegrid-{uuid.uuid4().hex}"
         self.written: list[str] = []
+        self.made = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write df as Parquet once and return the reread table."""
-        path = f"{self.root}/{len(self.written):03d}-{name}"
+    def save(self, df: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+        """Write df as Parquet once and return the reread table; then delete the saved tables that the `spent` ones read."""
+        self.made += 1
+        path = f"{self.root}/{self.made:03d}-{name}"
         df.write.parquet(path)
+        if spent:
+            files = {f for old in spent for f in old.inputFiles()}
+            self._delete([p for p in self.written if any(self._tail(p) in f for f in files)])
         self.written.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *keep: DataFrame) -> None:
         """Delete every table that none of the kept DataFrames reads."""
         used = {f for df in keep for f in df.inputFiles()}
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for path in self.written:
-            name = path.rsplit("/", 2)[-2] + "/" + path.rsplit("/", 1)[-1] + "/"
-            if not any(name in f for f in used):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+        self._delete([p for p in self.written if not any(self._tail(p) in f for f in used)])
+
+    @staticmethod
+    def _tail(path: str) -> str:
+        return "/".join(path.rsplit("/", 2)[-2:]) + "/"
+
+    def _delete(self, paths: list[str]) -> None:
+        for path in paths:
+            _remove(self.spark, path)
+            self.written.remove(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the workspace tables that df reads, whichever operator wrote them; df must not be used any more."""
+    found = (re.match(r"(.*/posegrid-[0-9a-f]{32}/\d{3}-[^/]*)/", f) for f in df.inputFiles())
+    for path in {m.group(1) for m in found if m}:
+        _remove(df.sparkSession, path)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name that df doesn't have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

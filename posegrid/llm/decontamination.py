@@ -13,8 +13,9 @@ at least 0.19, and an item in one stretch is missed with a probability of 1e-6 a
 the most. Candidates are confirmed by counting the item's shingles in the whole
 document, on the words themselves.
 
-Items come in blocks of bounded size; each block is one pass over the documents,
-without a shuffle, so neither table needs to fit anywhere.
+Items come in blocks of bounded size. The driver indexes each block once and sends
+the index to the workers, which keep it from task to task; each block is one pass
+over the documents, without a shuffle, so neither table needs to fit anywhere.
 
 Words are maximal runs of ASCII letters, digits and non-ASCII characters of the
 text with A-Z lower-cased. Defined results: null texts, and texts without words,
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, text_bytes, tidy
+from .common import slices, text_bytes, tidy
 from .shingles import multipliers, shingles, word_bytes, words
 
 FUNCTIONS = 64
@@ -79,12 +80,12 @@ def _minima(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The minima of a block of items, by size partition."""
+    """The minima of a block of items, by size partition; made on the driver, sent as arrays."""
 
     def __init__(self, items: list[tuple[int | None, str | None]], width: int):
         self.width = width
-        self.items = [(i, s) for i, t in items if (s := shingle_set(t, width))]
-        data, offsets = text_bytes(pa.array([t for i, t in items if word_list(t)], type=pa.string()))
+        self.items = [(i, t) for i, t in items if word_list(t)]
+        data, offsets = text_bytes(pa.array([t for _, t in self.items], type=pa.string()))
         hashes, starts = words(data, offsets, _WORD)
         runs, bounds = shingles(hashes, starts, width)
         by_level: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
@@ -92,14 +93,45 @@ class Index:
             own = runs[bounds[k] : bounds[k + 1]]
             by_level[max(len(np.unique(own)) - 1, 0).bit_length()].append((own, k))
         self.levels = sorted(by_level)
-        self.keys: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.minima: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for level, members in by_level.items():
             least = _minima(np.concatenate([m for m, _ in members]), np.concatenate([[0], np.cumsum([len(m) for m, _ in members])[:-1]]))
             keys = (least ^ _TAGS[:, None]).reshape(-1)  # a minimum counts for its own function only
             owners = np.tile(np.array([k for _, k in members]), FUNCTIONS)
             order = np.argsort(keys, kind="stable")
-            keys, owners = keys[order], owners[order]
-            self.keys[level] = keys, owners, _sieve(keys)
+            self.minima[level] = keys[order], owners[order]
+        self._local()
+
+    def _local(self) -> None:
+        """What each process makes for itself."""
+        self.keys = {level: (keys, owners, _sieve(keys)) for level, (keys, owners) in self.minima.items()}
+        self._sets: dict[int, set[tuple[str, ...]]] = {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("keys", "_sets")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._local()
+
+    def shingles(self, k: int) -> set[tuple[str, ...]]:
+        """The shingle set of an item, made when it is first a candidate."""
+        if k not in self._sets:
+            self._sets[k] = shingle_set(self.items[k][1], self.width)
+        return self._sets[k]
+
+    def contained(self, col: pa.Array, percent: int) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item, its set size, shared shingles) for a column of texts."""
+        data, offsets = text_bytes(col)
+        for a, b in slices(offsets, BATCH_BYTES):
+            hashes, starts = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _WORD)
+            runs, bounds = shingles(hashes, starts, self.width)
+            for d, those in self.candidates(runs, bounds).items():
+                own = shingle_set(col[a + d].as_py(), self.width)
+                for k in sorted(those):
+                    shared = len(self.shingles(k) & own)
+                    if 100 * shared >= percent * len(self.shingles(k)):
+                        yield a + d, k, len(self.shingles(k)), shared
 
     def candidates(self, runs: np.ndarray, bounds: np.ndarray) -> dict[int, set[int]]:
         """Items that share a minimum with a window of each text."""
@@ -145,23 +177,12 @@ def _sieve(keys: np.ndarray) -> np.ndarray:
 
 
 def _search(df: DataFrame, items: list[tuple[int | None, str | None]], width: int, percent: int) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(items)  # bounded by PASS_SHINGLES
+    shared = df.sparkSession.sparkContext.broadcast(Index(items, width))  # bounded by PASS_SHINGLES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, width)
+        index = shared.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column("text"))
-            rows: list[tuple] = []
-            for a, b in slices(offsets, BATCH_BYTES):
-                hashes, starts = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], _WORD)
-                runs, bounds = shingles(hashes, starts, width)
-                for d, those in index.candidates(runs, bounds).items():
-                    own = shingle_set(batch.column("text")[a + d].as_py(), width)
-                    for k in sorted(those):
-                        item, shingle = index.items[k]
-                        shared_n = len(shingle & own)
-                        if 100 * shared_n >= percent * len(shingle):
-                            rows.append((batch.column("doc_id")[a + d].as_py(), item, len(shingle), shared_n, shared_n / len(shingle)))
+            rows = [(batch.column("doc_id")[d].as_py(), index.items[k][0], n, c, c / n) for d, k, n, c in index.contained(batch.column("text"), percent)]
             if rows:
                 cols = list(zip(*rows))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
@@ -170,8 +191,22 @@ def _search(df: DataFrame, items: list[tuple[int | None, str | None]], width: in
     return df.mapInArrow(tidy(run), "doc_id long, item_id long, n_item long, n_shared long, containment double")
 
 
+def _without(df: DataFrame, items: list[tuple[int | None, str | None]], width: int, percent: int, text: str) -> DataFrame:
+    shared = df.sparkSession.sparkContext.broadcast(Index(items, width))  # bounded by PASS_SHINGLES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for d, *_ in index.contained(batch.column(text), percent):
+                keep[d] = False
+            yield batch.filter(pa.array(keep))
+
+    return df.mapInArrow(tidy(run), df.schema)
+
+
 def _item_blocks(items: DataFrame) -> Iterator[list[tuple[int | None, str | None]]]:
-    """Items in blocks of at most PASS_SHINGLES words, or one item; only one block is on the driver at a time."""
+    """Items in blocks of at most PASS_SHINGLES words, or one item."""
     block, size = [], 0
     for r in items.toLocalIterator():
         n = len(word_list(r["text"]))
@@ -197,8 +232,9 @@ def containments(
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that contain no item; all rows of a contaminated doc_id go, and if a row with a null doc_id is contaminated, all of those."""
-    work = Workspace(docs.sparkSession)
-    found = work.save(containments(docs, items, width, percent, doc_id, text).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return docs.join(found, F.col(doc_id).eqNullSafe(F.col("_leak")), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text contains no item; each row is judged by its own text."""
+    items = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
+    for block in _item_blocks(items):
+        docs = _without(docs, block, width, percent, text)
+    return docs
