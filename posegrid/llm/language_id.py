@@ -8,7 +8,8 @@ from training calibrates the scores.
 
 Document frequencies cover every training row. The classifier is fitted on a
 bounded sample of them: about `per_label` rows of each label, picked by a hash of
-the id, whose sparse features alone reach the driver.
+the id, whose sparse features alone reach the driver. Where a dirty column holds
+more than `most_labels` labels, the most frequent ones are learned.
 
 Defined results: null text, and text without a letter, gets `und` and score 0; rows
 whose lang or doc_id is null never train, and a null doc_id counts as not held out;
@@ -31,6 +32,8 @@ from .common import tidy
 
 #: Hashed features, n-gram orders and rows a label may give the fit.
 BITS, ORDERS, PER_LABEL = 16, (1, 2, 3), 1500
+#: Labels that are learned at most, the most frequent ones; no real set of languages reaches it.
+MOST_LABELS = 512
 SIZE = 1 << BITS
 #: FTRL-proximal: learning rate, its offset, elastic-net penalties; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.05, 0.01, 3
@@ -189,14 +192,15 @@ def _frequencies(df: DataFrame) -> DataFrame:
     return df.mapInArrow(tidy(run), "at int, df long").groupBy("at").agg(F.sum("df").alias("df"))
 
 
-def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = PER_LABEL) -> Model:
-    """Fit on the rows with a non-null text, label and id. `per_label` bounds the sample of each label."""
+def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", per_label: int = PER_LABEL, most_labels: int = MOST_LABELS) -> Model:
+    """Fit on the rows with a non-null text, label and id. `per_label` bounds the sample of each label, `most_labels` their number."""
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(doc_id).isNotNull())
     rows = rows.select(F.col(doc_id).cast("string").alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
-    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row a language
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(most_labels).collect()}
     if not sizes:
         return Model([], np.ones(SIZE), np.zeros((SIZE, 0)), np.zeros(0))
     labels = sorted(sizes)
+    rows = rows.where(F.col("label").isin(labels))
     df_counts = np.zeros(SIZE)
     for r in _frequencies(rows.select("text")).toLocalIterator():  # at most SIZE rows
         df_counts[r["at"]] = r["df"]
@@ -213,18 +217,19 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
     return fit(labels, data, idf)
 
 
-def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Add lang_pred and score; columns of those names are replaced."""
-    keep = [f for f in df.schema.fields if f.name not in ("lang_pred", "score")]
+def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """Add the columns `lang` and `score`; columns of those names are replaced."""
+    keep = [f for f in df.schema.fields if f.name not in (lang, score)]
     shared = df.sparkSession.sparkContext.broadcast(model)  # fixed by SIZE and the number of languages
-    schema = df.select([f.name for f in keep]).schema.add("lang_pred", "string").add("score", "double")
+    schema = df.select([f.name for f in keep]).schema.add(lang, "string").add(score, "double")
+    at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                said = [net.predict(t) for t in part.column(text).to_pylist()]
+                said = [net.predict(t) for t in part.column(at).to_pylist()]
                 cols = [*(part.column(f.name) for f in keep), pa.array([s for s, _ in said], type=pa.string()), pa.array([p for _, p in said], type=pa.float64())]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 

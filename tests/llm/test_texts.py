@@ -240,3 +240,46 @@ def test_media_columns(spark):
     assert clips[0]["first_frame"] == 0 and sum(c["n_frames"] for c in clips) == -(-200_000 // 576)
     assert all(a["end_s"] == pytest.approx(b["start_s"]) for a, b in zip(clips, clips[1:]))
     assert media_avi.features(stored.limit(0)).count() == 0
+
+
+def test_null_and_damaged_media(spark):
+    """Rows without a readable file stay, with the reason; the others are not touched."""
+    docs = spark.createDataFrame([(1, "a text"), (2, "another text " * 100)], "doc_id long, text string")
+    good = {r["doc_id"]: bytes(r["media"]) for r in media_avi.encode_avi(docs).collect()}
+    bad = bytearray(good[2])
+    bad[300:340] = b"\xff\xfe" * 20
+    rows = [(1, good[1]), (2, good[2]), (3, None), (4, b""), (5, bytes(bad)), (6, good[1][:100]), (7, b"RIFF")]
+    df = spark.createDataFrame(rows, "doc_id long, media binary").coalesce(1).selectExpr("*", "'x' AS error")
+    got = {r["doc_id"]: r for r in media_avi.features(df).collect()}
+    clean = {r["doc_id"]: r for r in media_avi.features(media_avi.encode_avi(docs)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6, 7]
+    assert all(got[k]["payload_sha256"] == clean[k]["payload_sha256"] and got[k]["feature"] == clean[k]["feature"] and got[k]["error"] is None for k in (1, 2))
+    assert all(got[k]["payload_bytes"] is None and got[k]["feature"] is None for k in (3, 4, 5, 6, 7))
+    assert got[3]["error"] is None and got[3]["media_bytes"] is None and all(got[k]["error"] for k in (4, 5, 6, 7))
+    assert {r["doc_id"] for r in media_avi.clips(df).collect()} == {1, 2}
+    assert media_avi.clips(df.where("doc_id > 2")).count() == 0
+
+
+def test_many_globs(monkeypatch):
+    """Thousands of globs, in parts of few states, against fullmatch."""
+    r = random.Random(2)
+    globs = [(f"*h{k}.*", r.choice(["*", f"/p{k % 7}/*", f"/*x{k % 5}"])) for k in range(3000)]
+    texts = [f"a.h{r.randrange(3000)}.com{r.choice(['/', '/p3/q', '/yx2', '/p1/x4'])}" for _ in range(60)] + ["", "/"]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0] + [len(t.encode()) for t in texts])
+    monkeypatch.setattr(url_filter, "STATE_BYTES", 1 << 18)
+    got = url_filter.Automaton(globs).run(np.frombuffer(data, dtype=np.uint8), offsets)
+    for k in r.sample(range(3000), 300):
+        host, path = (".*".join(re.escape(x) for x in g.split("*")) for g in globs[k])
+        want = [re.fullmatch(host.replace(".*", "[^/]*") + path, t, re.S) is not None for t in texts]
+        assert got[:, k].tolist() == want
+    assert got.any()
+
+
+def test_most_labels(spark):
+    """Of a dirty label column the most frequent labels are learned."""
+    rows = [(k, "the of and that", "en") for k in range(30)] + [(100 + k, "der und nicht ein", "de") for k in range(30)] + [(200 + k, "noise here", f"x{k}") for k in range(20)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_labels=2)
+    assert model.labels == ["de", "en"] and model.predict("the and")[0] == "en"
+    named = language_id.identify(spark.createDataFrame([("the of", 0.5)], "text string, score double"), model, lang="l", score="s").first()
+    assert (named["score"], named["l"]) == (0.5, "en")
