@@ -9,7 +9,7 @@ from .common import Workspace
 
 
 def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
-    """Rows (id, component) for every id in `edges` (a, b); component is its smallest reachable id.
+    """Rows (v, component) for every vertex in `edges` (a, b), of any type with an order; component is its smallest reachable vertex.
 
     Large-star and small-star steps take turns until the edges stop changing:
     a large star hangs each larger neighbour on a vertex's smallest neighbour,
@@ -31,5 +31,5 @@ def connected_components(edges: DataFrame, work: Workspace) -> DataFrame:
         if now == before:
             break
         before = now
-    roots = links.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
-    return links.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
+    roots = links.select(F.col("b").alias("v"), F.col("b").alias("component")).distinct()
+    return links.select(F.col("a").alias("v"), F.col("b").alias("component")).unionByName(roots)

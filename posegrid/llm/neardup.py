@@ -5,28 +5,33 @@ K_i = floor(1 - log_b(min over the set of h_i)), h_i exponential with rate a:
 exponentially spaced, truncated minima, which merge by maximum and agree between
 two sets with a probability close to their Jaccard similarity.
 
-1. sketch: set size, digest of the word sequence, registers, band keys.
-2. Rows with one digest are one text; they become one vertex, with the smallest
-   doc_id as its name. So copies never meet pair by pair.
-3. Candidates: all members of a band bucket are held against the bucket's smallest
-   member. Each pair goes through the joint likelihood of the registers and then
-   an exact count over the full sets. Verified links make components.
+1. sketch: set size, digest of the word sequence, registers.
+2. Rows with one digest are one text, however many rows and ids it has; they become
+   one vertex, named by that digest. So copies never meet pair by pair.
+3. Candidates: all members of a band bucket are held against one center, the bucket's
+   smallest digest. Each pair goes through the joint likelihood of the registers and
+   then an exact count over the full sets. Verified links make components.
 4. In buckets that still hold several components, the members outside the
    largest one meet all members of other components, in blocks of bounded size
-   that yield only the likely pairs. Where that would be too much work, the bucket
-   is first split by every later band, which goes back to 3 and leaves fewer
-   components. Then what is still mixed in the whole bucket meets in blocks too,
-   whatever the work. So no bucket is capped, pairs are lost at no size, and none
-   are compared within a component.
+   that yield only pairs which reach the threshold by their fingerprints: pairs that
+   the registers alone let through can be as many as the square of a group. Where that
+   would be too much work, the bucket is first split by every later band, which goes
+   back to 3 and leaves fewer components. Then what is still mixed in the whole bucket
+   meets in blocks too, whatever the work. So no bucket is capped, pairs are lost
+   at no size, and none are compared within a component.
+
+Before the wide exchanges (band keys, texts) a bitmap of bounded size drops most of
+the rows that have no partner; exact joins follow.
 
 A pair at the threshold shares no band with probability (1 - s^r)^bands: for the
 defaults 3e-7 at 0.8 and 2e-9 at 0.85; the likelihood filter leaves six standard
 errors of room.
 
 Defined results: null or wordless text has an empty set (size 0), links with
-nothing and is kept; a null doc_id keeps its row, is no vertex by itself and
-takes the class of its text, if that has an id; repeated rows share a class;
-other columns do not matter to the result.
+nothing and is kept; a doc_id may stand for several texts: each text is a vertex of
+its own, and component_id is the smallest doc_id that any text of the component
+has; a null doc_id keeps its row and takes the smallest doc_id of its component,
+or null if that has none; repeated rows share a component; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -38,7 +43,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, text_bytes, tidy
+from .bitmaps import Bitmap
+from .common import Workspace, slices, text_bytes, tidy, unused
 from .components import connected_components
 from .shingles import digests, mix, multipliers, shingles, word_bytes, words
 
@@ -121,12 +127,18 @@ def reaches(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, floor:
     return _likelihood(counts, u, v, floor + 1e-4) >= _likelihood(counts, u, v, floor - 1e-4)
 
 
+def _vertices(d1: np.ndarray, d2: np.ndarray) -> list[bytes]:
+    """Digests as 16 bytes each."""
+    raw = np.column_stack([d1, d2]).tobytes()
+    return [raw[k : k + 16] for k in range(0, len(raw), 16)]
+
+
 def sketch(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, the text's digest (d1, d2), regs; the last three null for an empty set."""
+    """Per row: doc_id, hash of the text as it stands, n_shingles, vertex v (digest of its words), regs; the last two null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(text))
+            data, offsets = text_bytes(batch.column("text"))
             for a, b in slices(offsets, BATCH_BYTES):
                 part = data[offsets[a] : offsets[b]]
                 hashes, starts = words(part, offsets[a : b + 1] - offsets[a], _WORD)
@@ -140,25 +152,27 @@ def sketch(df: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text"
                 if there.any():
                     full = sizes[there]
                     regs[there] = registers(np.concatenate(sets), np.concatenate([[0], np.cumsum(full)]))
-                d1, d2 = digests(hashes, starts)
-                gone = ~there
+                names = _vertices(*digests(hashes, starts))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(doc_id).slice(a, b - a),
+                        batch.column("doc_id").slice(a, b - a),
+                        batch.column("key").slice(a, b - a),
                         pa.array(sizes),
-                        pa.array(d1, mask=gone),
-                        pa.array(d2, mask=gone),
-                        pa.array([None if g else r.tobytes() for g, r in zip(gone, regs)], type=pa.binary()),
+                        pa.array([v if t else None for t, v in zip(there, names)], type=pa.binary()),
+                        pa.array([r.tobytes() if t else None for t, r in zip(there, regs)], type=pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "d1", "d2", "regs"],
+                    names=["doc_id", "key", "n_shingles", "v", "regs"],
                 )
 
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, regs binary"
-    return df.select(F.col(doc_id).cast("long").alias(doc_id), text).mapInArrow(tidy(run), schema)
+    return _keyed(df, doc_id, text).mapInArrow(tidy(run), "doc_id long, key long, n_shingles long, v binary, regs binary")
+
+
+def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
+    return df.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
 
 
 def banded(reps: DataFrame) -> DataFrame:
-    """Per (id, regs): id and its band keys, `bands`."""
+    """Per (v, regs): v and its band keys, `bands`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,14 +181,14 @@ def banded(reps: DataFrame) -> DataFrame:
                 regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, M)
                 offsets = pa.array(np.arange(len(regs) + 1, dtype=np.int32) * BANDS)
                 keys = pa.ListArray.from_arrays(offsets, pa.array(band_keys(regs).reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), keys], names=["id", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("v"), keys], names=["v", "bands"])
 
-    return reps.select("id", "regs").mapInArrow(tidy(run), "id long, bands array<long>")
+    return reps.select("v", "regs").mapInArrow(tidy(run), "v binary, bands array<long>")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     """Of pairs (a, b) those whose set sizes and registers allow a similarity of `least`."""
-    side = lambda s: reps.select(F.col("id").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
+    side = lambda s: reps.select(F.col("v").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     both = both.where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
     floor = least - ROOM * np.sqrt(least * (1 - least) / M)
@@ -187,11 +201,11 @@ def likely(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
                 keep = reaches(ra, rb, na, nb, floor)
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(tidy(run), "a long, b long")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
-def fingerprints(texts: DataFrame, width: int) -> DataFrame:
-    """Per (id, text): id and the sorted distinct shingle hashes cut to 32 bits, packed."""
+def fingerprints(reps: DataFrame, width: int) -> DataFrame:
+    """Per (v, n_shingles, regs, text): v, n_shingles, regs and the sorted distinct shingle hashes cut to 32 bits, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -201,13 +215,14 @@ def fingerprints(texts: DataFrame, width: int) -> DataFrame:
                 runs, bounds = shingles(hashes, starts, width)
                 short = (runs >> np.uint64(32)).astype(np.uint32)
                 packed = [np.unique(short[x:y]).tobytes() for x, y in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(packed, type=pa.binary())], names=["id", "prints"])
+                own = [batch.column(c).slice(a, b - a) for c in ("v", "n_shingles", "regs")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(packed, type=pa.binary())], names=["v", "n_shingles", "regs", "prints"])
 
-    return texts.select("id", "text").mapInArrow(tidy(run), "id long, prints binary")
+    return reps.select("v", "n_shingles", "regs", "text").mapInArrow(tidy(run), "v binary, n_shingles long, regs binary, prints binary")
 
 
-def across(members: DataFrame, reps: DataFrame, least: float, once: bool) -> DataFrame:
-    """Likely pairs (a, b) across components in buckets (bucket, band, id, label, size, top, rest).
+def across(members: DataFrame, reps: DataFrame, least: float, width: int, once: bool) -> DataFrame:
+    """Likely pairs (a, b) across components in buckets (bucket, band, v, label, size, top, rest).
 
     `rest` members lie outside the largest component `top`. They are dealt to blocks,
     as all members are, and each pair of blocks is one group of bounded size. With
@@ -217,21 +232,23 @@ def across(members: DataFrame, reps: DataFrame, least: float, once: bool) -> Dat
     """
     floor = least - ROOM * np.sqrt(least * (1 - least) / M)
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    spot = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
-    every = members.select("bucket", "band", "id", "label", F.lit(False).alias("few"), F.explode(F.sequence(F.lit(0), blocks("rest") - 1)).alias("x"), spot("size").alias("y"))
-    few = members.where("label <> top")
-    few = few.select("bucket", "band", "id", "label", F.lit(True).alias("few"), spot("rest").alias("x"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("y"))
-    rows = every.unionByName(few).join(reps.select("id", "n_shingles", "regs", "prints"), "id")
+    spot = lambda n: F.pmod(F.xxhash64("v"), blocks(n)).cast("int")
+    printed = fingerprints(reps.join(members.select("v").distinct(), "v", "left_semi"), width)
+    named = members.join(printed, "v")
+    own = ["bucket", "band", "v", "label", "n_shingles", "regs", "prints"]
+    every = named.select(*own, F.lit(False).alias("few"), F.explode(F.sequence(F.lit(0), blocks("rest") - 1)).alias("x"), spot("size").alias("y"))
+    few = named.where("label <> top").select(*own, F.lit(True).alias("few"), spot("rest").alias("x"), F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("y"))
 
     def run(table: pa.Table) -> pa.Table:
         few = table.column("few").to_numpy()
-        ids, labels, sizes = (table.column(c).to_numpy() for c in ("id", "label", "n_shingles"))
-        sizes = sizes.astype(np.float64)
+        names, codes = table.column("v").to_pylist(), {}
+        labels = np.array([codes.setdefault(x, len(codes)) for x in table.column("label").to_pylist()])
+        sizes = table.column("n_shingles").to_numpy().astype(np.float64)
         regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, M)
         prints = [np.frombuffer(x, dtype=np.uint32) for x in table.column("prints").to_pylist()]
         band = int(table.column("band")[0].as_py()) if once and len(few) else 0
         every = np.flatnonzero(~few)
-        out: list[tuple[int, int]] = []
+        out: list[tuple[bytes, bytes]] = []
         for k in np.flatnonzero(few):
             n = sizes[k]
             at = every[(labels[every] != labels[k]) & (np.minimum(sizes[every], n) >= least * np.maximum(sizes[every], n))]
@@ -253,15 +270,15 @@ def across(members: DataFrame, reps: DataFrame, least: float, once: bool) -> Dat
                 ends = np.cumsum(counts)
                 common = hits[ends] - hits[ends - counts]
                 at = at[common >= least * (len(own) + counts - common) - 2]
-                out += [(max(i, int(ids[k])), min(i, int(ids[k]))) for i in ids[at].tolist()]
-        return pa.table({"a": pa.array([x for x, _ in out], type=pa.int64()), "b": pa.array([y for _, y in out], type=pa.int64())})
+                out += [(max(names[j], names[k]), min(names[j], names[k])) for j in at]
+        return pa.table({"a": pa.array([x for x, _ in out], type=pa.binary()), "b": pa.array([y for _, y in out], type=pa.binary())})
 
-    return rows.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    return every.unionByName(few).groupBy("bucket", "x", "y").applyInArrow(run, "a binary, b binary").distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those with 100 * intersection >= percent * union over the full shingle sets."""
-    side = lambda s: texts.select(F.col("id").alias(s), F.col("text").alias(f"t{s}"))
+    side = lambda s: texts.select(F.col("v").alias(s), F.col("text").alias(f"t{s}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,81 +298,111 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                     keep.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return both.mapInArrow(tidy(run), "a long, b long")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
-def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of df: doc_id, n_shingles, component_id, kept.
+def texts_of(df: DataFrame, reps: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """Per vertex (v, least, key, n_shingles, regs) of `reps` v, n_shingles, regs and its text, found by doc_id and text hash."""
+    rows = Bitmap(reps, "least", "key").split(_keyed(df, doc_id, text), "doc_id", "key", held=True)
+    rows = rows.groupBy("doc_id", "key").agg(F.max("text").alias("text")).withColumnRenamed("key", "_key")
+    return reps.join(rows, F.col("least").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("_key"))).select("v", "n_shingles", "regs", "text")
 
-    Documents are linked when 100 * intersection >= percent * union of their
-    shingle sets; component_id is the smallest doc_id reachable.
-    """
-    spark = df.sparkSession
-    work = Workspace(spark)
+
+def grouped(df: DataFrame, width: int, percent: int, doc_id: str, text: str, work: Workspace) -> DataFrame:
+    """Per row of df: doc_id, text hash `key`, n_shingles, root (one name for each component, null for an empty set), component_id."""
     rows = work.save(sketch(df, width, doc_id, text), "sketches")
-    classes = rows.where("d1 is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max(F.struct("n_shingles", "regs")).alias("s"))
-    reps = work.save(classes.where("id is not null").select("id", "d1", "d2", "s.n_shingles", "s.regs"), "classes")
-    buckets = banded(reps).select("id", F.posexplode("bands").alias("band", "bucket"))
-    met = work.save(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("center")).where("size > 1"), "bucket"), "buckets")
-    wanted = met.select("id").distinct()
-    # A merge join at every size: the ids grow with the documents, so a broadcast would only pay while they are few.
-    full = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted.hint("merge"), "id", "left_semi")
-    full = work.save(full.groupBy("id").agg(F.max("text").alias("text")), "texts")
-    seen = reps.select("id", "n_shingles", "regs").join(fingerprints(full, width), "id")
-    seen = work.save(seen, "registers")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))  # null ids last
+    classes = rows.where("v IS NOT NULL").groupBy("v").agg(first.alias("f"), F.max(F.struct("n_shingles", "regs")).alias("s"))
+    reps = work.save(classes.select("v", F.col("f.doc_id").alias("least"), "f.key", "s.n_shingles", "s.regs"), "classes")
+    rows = work.save(rows.select("doc_id", "key", "n_shingles", "v"), "rows", rows)
+
+    shared = work.save(banded(reps).select(F.explode("bands").alias("bucket")).groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
+    buckets = banded(reps).select("v", F.posexplode("bands").alias("band", "bucket"))
+    buckets = work.save(Bitmap(shared, "bucket").split(buckets, "bucket", held=True), "maybe", shared)
+    met = work.save(buckets.join(buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("v").alias("center")).where("size > 1"), "bucket"), "buckets", buckets)
+    paired = work.save(met.select("v").distinct(), "paired")
+    wanted = work.save(Bitmap(paired, "v").split(reps, "v", held=True).join(paired, "v", "left_semi"), "wanted", paired)
+    vertices = work.save(reps.select("v", "least"), "vertices", reps)
+    seen = work.save(texts_of(df, wanted, doc_id, text), "texts", wanted)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        return work.save(verified(pairs, full, width, percent), "verified")
+        return work.save(verified(pairs, seen, width, percent), "verified")
 
-    stars = met.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+    stars = met.where("v <> center").select(F.col("v").alias("a"), F.col("center").alias("b")).distinct()
     links = links_of(likely(stars, seen, percent / 100))
     labels = work.save(connected_components(links, work), "labels")
-    level, hot, whole = 0, met.where("size > 2").select("bucket", "band", "id"), None
+    level, hot, whole = 0, met.where("size > 2").select("bucket", "band", "v"), None
     while True:
-        named = hot.join(labels, "id", "left").select("bucket", "band", "id", F.coalesce("component", "id").alias("label"))
+        named = hot.join(labels, "v", "left").select("bucket", "band", "v", F.coalesce("component", "v").alias("label"))
         sizes = named.groupBy("bucket", "label").count().groupBy("bucket")
         mixed = sizes.agg(F.sum("count").alias("size"), F.max_by("label", F.struct("count", "label")).alias("top"), (F.sum("count") - F.max("count")).alias("rest")).where("rest > 0")
         open_ = work.save(named.join(mixed, "bucket"), "open")
         near = F.col("size") * F.col("rest") <= WORK if level <= LEVELS else F.lit(True)
         counts = open_.agg(F.count_if(near), F.count_if(~near)).first()
         if not level and counts[1]:
-            whole = open_.where(~near).select("bucket", "band", "id")
+            whole = open_.where(~near).select("bucket", "band", "v")
         split = counts[1] and level < LEVELS
         if counts[0] or split:
-            pairs = across(open_.where(near), seen, percent / 100, level in (0, LEVELS + 1))
+            pairs = across(open_.where(near), seen, percent / 100, width, level in (0, LEVELS + 1))
             if split:
-                large = open_.where(~near).select("bucket", "band", "id")
-                keyed = large.join(banded(seen), "id").select("id", "bucket", "band", F.posexplode("bands")).where("pos > band")
-                keyed = keyed.select("id", F.col("pos").alias("band"), F.xxhash64("bucket", "col").alias("bucket"))
-                finer = work.save(keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("center")).where("size > 1"), "bucket"), "finer")
-                stars = finer.where("id <> center").select(F.col("id").alias("a"), F.col("center").alias("b")).distinct()
+                large = open_.where(~near).select("bucket", "band", "v")
+                keyed = large.join(banded(seen), "v").select("v", "bucket", "band", F.posexplode("bands")).where("pos > band")
+                keyed = keyed.select("v", F.col("pos").alias("band"), F.xxhash64("bucket", "col").alias("bucket"))
+                finer = work.save(keyed.join(keyed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("v").alias("center")).where("size > 1"), "bucket"), "finer")
+                stars = finer.where("v <> center").select(F.col("v").alias("a"), F.col("center").alias("b")).distinct()
                 pairs = pairs.unionByName(likely(stars, seen, percent / 100)).distinct()
             found = links_of(work.save(pairs, "pairs"))
             links = work.save(links.unionByName(found), "links")
             labels = work.save(connected_components(links, work), "labels")
         if split:
-            level, hot = level + 1, finer.where("size > 2").select("bucket", "band", "id")
+            level, hot = level + 1, finer.where("size > 2").select("bucket", "band", "v")
         elif whole is not None:
             level, hot, whole = LEVELS + 1, whole, None
         else:
             break
-    named = reps.select("d1", "d2", "id").join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    result = rows.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    result = result.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    result = work.save(result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "result")
+    least = labels.join(vertices, "v").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = labels.join(least, "component").select("v", "component", "component_id")
+    named = vertices.join(linked, "v", "left").select("v", F.coalesce("component", "v").alias("root"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    result = rows.join(named, "v", "left")
+    lone = F.col("root").isNull()
+    return work.save(result.select("doc_id", "key", "n_shingles", "root", F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")), "result")
+
+
+def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row of df: doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when 100 * intersection >= percent * union of their
+    shingle sets; component_id is the smallest doc_id reachable.
+    """
+    work = Workspace(df.sparkSession)
+    result = grouped(df, width, percent, doc_id, text, work)
     work.drop(result)
-    return result
+    return result.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicate(df: DataFrame, width: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of df, one document of each group of near duplicates, and repeated rows once.
 
-    A doc_id that stands for several texts stays if any of them does.
+    The row with the smallest doc_id stays; where that id stands for several texts
+    of the group, the one with the least text hash. Rows that differ in other
+    columns only count as repeated. Documents without words all stay, but for repeated rows.
     """
-    result = near_duplicates(df, width, percent, doc_id, text)
-    if result.groupBy("doc_id").count().where("count > 1").isEmpty():
-        gone = result.where("NOT kept").select(F.col("doc_id").alias("_gone"))
-        return df.join(gone, F.col(doc_id).eqNullSafe(F.col("_gone")), "left_anti")
-    kept = result.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    rows = df.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.withColumn("_hash", F.xxhash64(text)).dropDuplicates([doc_id, "_hash"]).drop("_hash")
+    work = Workspace(df.sparkSession)
+    rows = grouped(df, width, percent, doc_id, text, work)
+    lead = F.col("root").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    gone = rows.where(~lead).select("doc_id", "key")
+    repeated = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    if repeated:
+        leads = rows.where(lead & F.col("root").isNotNull())
+        best = leads.groupBy("root").agg(F.min("key").alias("best"))
+        gone = gone.unionByName(leads.join(best, "root").where("key > best").select("doc_id", "key"))
+    own_id, own_key = unused("own_id", df), unused("own_key", df)
+    keyed = df.withColumns({own_id: F.col(doc_id).cast("long"), own_key: F.xxhash64(text)})
+    gone_id, gone_key = unused("gone_id", df), unused("gone_key", df)
+    gone = work.save(gone.toDF(gone_id, gone_key).distinct(), "gone", rows)
+    marks = Bitmap(gone, gone_id, gone_key)
+    maybe = marks.split(keyed, own_id, own_key, held=True)
+    maybe = maybe.join(gone, F.col(own_id).eqNullSafe(F.col(gone_id)) & (F.col(own_key) == F.col(gone_key)), "left_anti")
+    kept = marks.split(keyed, own_id, own_key, held=False).unionByName(maybe)
+    work.drop(gone)
+    return (kept.dropDuplicates([own_id, own_key]) if repeated else kept).drop(own_id, own_key)

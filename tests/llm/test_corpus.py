@@ -90,8 +90,39 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
     kept = neardup.deduplicate(df)
     assert kept.columns == df.columns
-    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.where("text IS NOT NULL").collect()) == [(-1, "a b c d e f"), (7, "a b c d e f")]  # null stands for several texts, one of them kept
+    assert [(r["doc_id"], r["text"]) for r in kept.where("text IS NOT NULL").collect()] == [(7, "a b c d e f")]
     assert kept.where("text IS NULL").count() == 2
+    assert neardup.deduplicate(df.limit(0)).count() == 0
+
+
+def test_ids_with_several_texts(spark):
+    """Every text of an id is a vertex of its own; no link is lost and one row of a group stays."""
+    r = random.Random(9)
+    a, b, c = (r.choices([f"v{k}" for k in range(500)], k=60) for _ in range(3))
+    near = lambda w: " ".join(w[:-1] + ["other"])
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (8, near(a)), (9, near(b)), (9, " ".join(c)), (None, near(c)), (5, " ".join(c))]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = sorted((x["doc_id"] or 0, x["component_id"]) for x in neardup.near_duplicates(df).collect())
+    assert got == [(0, 5), (5, 5), (7, 7), (7, 7), (8, 7), (9, 5), (9, 7)]
+    kept = sorted((x["doc_id"], x["text"]) for x in neardup.deduplicate(df).collect())
+    assert kept == sorted([(7, " ".join(a)), (7, " ".join(b)), (5, " ".join(c))])
+    both = spark.createDataFrame([(7, " ".join(a), "x", 1), (7, near(a), "x", 1), (None, " ".join(c), "x", 1), (None, near(c), "x", 1)], SCHEMA)
+    assert sorted(x["doc_id"] or 0 for x in neardup.deduplicate(both).collect()) == [0, 7]  # one of each group
+
+
+def test_bitmap_only_spares_work(spark, monkeypatch):
+    """Absent keys may pass, present ones always do, at any fill."""
+    from posegrid.llm import bitmaps
+
+    keys = spark.range(0, 60_000, 3).selectExpr("id AS k")
+    rows = spark.range(60_000).selectExpr("id", "'x' AS p")
+    for most in (4096, 1):
+        monkeypatch.setattr(bitmaps, "MOST_ROWS", most)
+        marks = bitmaps.Bitmap(keys, "k")
+        held, rest = (marks.split(rows, "id", held=h) for h in (True, False))
+        assert held.where("id % 3 = 0").count() == 20_000 and held.count() + rest.count() == 60_000
+        assert held.count() < (23_000 if most > 1 else 45_000)
+    assert bitmaps.Bitmap(keys.limit(0), "k").split(rows, "id", held=True).count() == 0
 
 
 def test_estimate_is_close():
@@ -110,7 +141,7 @@ def test_estimate_is_close():
 def test_components(spark):
     r = random.Random(4)
     edges = [(k, k + 1) for k in range(40)] + [(100 + r.randrange(30), 100 + r.randrange(30)) for _ in range(25)]
-    got = {x["id"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark)).collect()}
+    got = {x["v"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark)).collect()}
     assert all(got[k] == 0 for k in range(41))
     assert all(got[a] == got[b] for a, b in edges if a != b)
     assert all(got[c] == c and c == min(k for k in got if got[k] == c) for c in set(got.values()))
@@ -136,12 +167,21 @@ def test_containment(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 AS item_id"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((x["doc_id"], x["item_id"], x["n_item"], x["n_shared"]) for x in decontamination.containments(d, i).collect())
     assert got == wanted and len(wanted) > 30
-    left = {x["doc_id"] for x in decontamination.clean(d, i).collect()}
-    assert left == {k for k, _ in docs} - {w[0] for w in wanted}
+    left = sorted((x["doc_id"], x["text"] or "") for x in decontamination.clean(d, i).collect())
+    leak = lambda t: any(s and 100 * len(s & decontamination.shingle_set(t, 5)) >= 80 * len(s) for _, s in sets)
+    assert left == sorted((k, t or "") for k, t in docs if not leak(t))
     assert decontamination.containments(d, i.limit(0)).count() == 0 and decontamination.containments(d.limit(0), i).count() == 0
     assert decontamination.clean(d, i.limit(0)).columns == d.columns
 
 
+def test_clean_judges_rows(spark):
+    """Rows that share an id, or have none, are judged by their own text."""
+    item = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, "x " + item, "a"), (1, "clean text", "b"), (None, item + " y", "c"), (None, "also clean", "d"), (None, None, None)], "doc_id long, text string, item_id string")
+    left = decontamination.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert left.columns == docs.columns and sorted(x["item_id"] or "" for x in left.collect()) == ["", "b", "d"]
+
+
 def test_benchmark_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontamination, "PASS_SHINGLES", 10)
     items = spark.createDataFrame([(k, f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(5)], "item_id long, text string")
@@ -167,6 +207,20 @@ def test_shards(spark, law):
     assert sorted(map(tuple, sharding.shard(df.repartition(3), 16, law).collect())) == sorted(map(tuple, got))
 
 
+def test_few_numbers_reach_the_driver(spark, monkeypatch):
+    """At most 64 counts for each open splitter and pass."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, collect = [], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: seen.append(rows := collect(self)) or rows)
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("h"), F.col("id").alias("i"), F.lit(1).cast("long").alias("w"))
+    targets = [(20_000 * k / 50, 0.5) for k in range(1, 50)]
+    cuts = sharding.splitters(keys, targets)
+    assert seen and max(map(len, seen)) <= 64 * 49
+    order = sorted((r["h"], r["i"]) for r in collect(keys))
+    assert all(abs(sum(k < cut for k in order) - t) <= 0.5 for cut, (t, _) in zip(cuts, targets))
+
+
 def test_shard_edges(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, None)], "doc_id long, text string")
     got = sharding.shard(df).collect()
@@ -188,6 +242,16 @@ def test_pipeline(spark, tmp_path):
     got = {x["doc_id"]: x for x in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(got) == set(range(60))
     assert all(got[i]["decoded"] == t and got[i]["n_tokens"] == len(got[i]["ids"]) for i, t, _ in made)
+    extra = docs.unionByName(docs.limit(3)).unionByName(docs.limit(1).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "text", "lang", "source", "n_chars"))
+    extra = extra.selectExpr("*", "0.5 AS score", "'mine' AS lang_pred", "'k' AS key", "1 AS v", "2 AS item_id", "'t' AS slot", "3 AS own_id", "4 AS gone_key")
+    for frame in (extra, extra.limit(0)):
+        n = frame.count()
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, str(tmp_path))
+            assert frame.columns == extra.columns
+        rows = frame.collect()
+        assert sorted(x["doc_id"] for x in rows) == (list(range(60)) if n else [])
+        assert all((x["score"], x["lang_pred"], x["key"], x["v"]) == (0.5, "mine", "k", 1) for x in rows)
     frame = docs
     for _, stage in corpus_pipeline.STAGES[:-1]:
         frame = stage(spark, frame, str(tmp_path))
