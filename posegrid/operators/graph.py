@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.pairs import type_compatible
+
 
 def missing_featuresets(pairs: DataFrame, features: DataFrame, a: str = "image_a", b: str = "image_b", image: str = "image_id") -> DataFrame:
     """Images that pairs (of mode indexed) name but no feature set has: image_id, side."""
@@ -33,6 +35,25 @@ def chain_consecutive(df: DataFrame, group: str, order: str, *more: str) -> Data
     return df.withColumn("next", F.lead(order).over(w)).where("next IS NOT NULL")
 
 
+def registered_mask(views: DataFrame, run: str, view: str, pose: str) -> DataFrame:
+    """Per run, in the order of its views: which have a pose, `mask`, and how many, `registered`."""
+    nested = F.array_sort(F.collect_list(F.struct(F.col(view).alias("v"), F.col(pose).isNotNull().alias("ok"))))
+    held = views.groupBy(run).agg(nested.alias("m"), F.count(pose).alias("registered"))
+    return held.select(run, F.transform("m", lambda s: s["ok"]).alias("mask"), "registered")
+
+
+def known_observations(observations: DataFrame, keypoints: DataFrame, image: str = "image_id", index: str = "keypoint_idx") -> DataFrame:
+    """Track observations whose image has that keypoint; keypoints (image, n) holds their number."""
+    return observations.join(keypoints.select(F.col(image), F.col("n").alias("_n")), image).where((F.col(index) >= 0) & (F.col(index) < F.col("_n"))).drop("_n")
+
+
+def guard_types(pairs: DataFrame, sets: DataFrame, a: str = "image_a", b: str = "image_b", image: str = "image_id", kind: str = "type") -> DataFrame:
+    """Add `compatible`: whether both images' descriptor sets come from the same extractor; null if one has none."""
+    side = lambda c, t: sets.select(F.col(image).alias(c), F.col(kind).alias(t))
+    typed = pairs.join(side(a, "_type_a"), a, "left").join(side(b, "_type_b"), b, "left")
+    return typed.withColumn("compatible", type_compatible(F.col("_type_a"), F.col("_type_b"))).drop("_type_a", "_type_b")
+
+
 def track_table(observations: DataFrame, point: str, *order: str) -> DataFrame:
     """Per point its track length and ordered observations (nested form)."""
     return observations.groupBy(point).agg(F.count("*").alias("track_len"), F.array_sort(F.collect_list(F.struct(*order))).alias("track"))

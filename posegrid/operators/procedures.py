@@ -72,12 +72,19 @@ def extract(images: DataFrame, extractor: Callable[[pa.RecordBatch], pa.RecordBa
     return images.mapInArrow(lambda batches: (extractor(b) for b in batches), KEYPOINTS)
 
 
-def match(pairs: DataFrame, keypoints: DataFrame, matcher: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
-    """Matches of every pair (image_a, image_b) whose images have keypoints; each pair is one group."""
+def _renewed(df: DataFrame) -> DataFrame:
+    """df with attributes of its own, as the two sides of a cogroup need."""
+    return df.toDF(*df.columns).select(*(F.col(c).alias(c) for c in df.columns))
+
+
+def match(pairs: DataFrame, operands: DataFrame, matcher: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
+    """Matches of every pair (image_a, image_b) whose images have operands; each pair is one group.
+
+    operands has an image_id: keypoints for a matcher of features, image rows for one without a detector.
+    """
     key = ["image_a", "image_b"]
-    renewed = lambda df: df.toDF(*df.columns).select(*(F.col(c).alias(c) for c in df.columns))  # noqa: E731  the two sides need attributes of their own
-    left = renewed(pairs.join(keypoints.withColumnRenamed("image_id", "image_a"), "image_a"))
-    right = renewed(pairs.join(keypoints.withColumnRenamed("image_id", "image_b"), "image_b"))
+    left = _renewed(pairs.join(operands.withColumnRenamed("image_id", "image_a"), "image_a"))
+    right = _renewed(pairs.join(operands.withColumnRenamed("image_id", "image_b"), "image_b"))
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(lambda a, b: matcher(a, b), MATCHES)
 
 
@@ -86,9 +93,47 @@ def verify(matches: DataFrame, verifier: Callable[[pa.Table], pa.Table]) -> Data
     return matches.groupBy("image_a", "image_b").applyInArrow(lambda t: verifier(t), MATCHES)
 
 
-def map_views(views: DataFrame, mapper: Callable[[pa.Table], pa.Table]) -> DataFrame:
-    """Results of every scene's views (scene, view_idx, ...)."""
-    return views.groupBy("scene").applyInArrow(lambda t: mapper(t), RESULTS)
+def map_views(views: DataFrame, mapper: Callable[..., pa.Table], correspondences: DataFrame | None = None, options: Options | None = None) -> DataFrame:
+    """Results of every scene's views (scene, view_idx, ...).
+
+    With correspondences (scene, ...) the mapper gets the scene's matches, an empty
+    table where it has none, as its second argument; without, it gets None if
+    options are given. options come last. max_views bounds the views a scene may have.
+    """
+    more = () if options is None else (options,)
+    if options is not None and options.max_views is not None:
+        views = _bounded(views, options.max_views)
+    if correspondences is not None:
+        cogroup = _renewed(views).groupBy("scene").cogroup(_renewed(correspondences).groupBy("scene"))
+        empty = _no_results()
+        return cogroup.applyInArrow(lambda v, c: mapper(v, c, *more) if v.num_rows else empty, RESULTS)
+    return views.groupBy("scene").applyInArrow(lambda t: mapper(t, None, *more) if more else mapper(t), RESULTS)
+
+
+def _bounded(views: DataFrame, most: int) -> DataFrame:
+    """views; reading fails at a scene of more than `most`."""
+    large = views.groupBy("scene").agg(F.count("*").alias("_n"))
+    fine = F.when(F.col("_n") <= most, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("OPT.max_views: scene "), F.col("scene"))).cast("boolean"))
+    return views.join(large, "scene").where(fine).drop("_n")
+
+
+def _no_results() -> pa.Table:
+    numbers = pa.list_(pa.float64())
+    return pa.schema([("scene", pa.string()), ("view_idx", pa.int32()), ("r", numbers), ("t", numbers), ("convention", pa.string()), ("dense", pa.bool_()), ("scale", pa.string())]).empty_table()
+
+
+def refusals(views: DataFrame, mapper: Callable[..., pa.Table]) -> DataFrame:
+    """Per scene whether the mapper raises a ContractViolation when it gets no correspondences: scene, refused."""
+
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            mapper(t, None)
+            refused = False
+        except ContractViolation:
+            refused = True
+        return pa.table({"scene": t.column("scene").slice(0, 1), "refused": pa.array([refused])})
+
+    return views.groupBy("scene").applyInArrow(run, "scene string, refused boolean")
 
 
 def _report(df: DataFrame, keys: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
@@ -97,8 +142,12 @@ def _report(df: DataFrame, keys: list[str], rules: list[tuple[str, Column]]) ->
     return df.select(*keys, table.alias("x")).select(*keys, "x.rule_id", "x.holds")
 
 
-def mapper_report(views: DataFrame, results: DataFrame, traits: MapperTraits) -> DataFrame:
-    """Per scene: enough views, results for exactly the views, dense and metric claims kept."""
+def mapper_report(views: DataFrame, results: DataFrame, traits: MapperTraits, refused: DataFrame | None = None) -> DataFrame:
+    """Per scene: enough views, results for exactly the views, dense and metric claims kept.
+
+    With `refused` (see `refusals`) also: a mapper refuses to work without correspondences
+    exactly if it says that it requires them.
+    """
     seen = views.groupBy("scene").agg(F.count("*").alias("n"), F.sum(F.xxhash64("view_idx").cast("decimal(38,0)")).alias("which"))
     got = results.groupBy("scene").agg(
         F.count("*").alias("m"),
@@ -109,10 +158,15 @@ def mapper_report(views: DataFrame, results: DataFrame, traits: MapperTraits) ->
         F.count_if(F.col("scale") == "metric").alias("metric"),
     )
     both = seen.join(got, "scene", "left")
+    needs = []
+    if refused is not None:
+        both = both.join(refused, "scene", "left")
+        needs = [("KIT.requires_correspondences", F.col("refused") == F.lit(traits.requires_correspondences))]
     return _report(
         both,
         ["scene"],
-        [
+        needs
+        + [
             ("KIT.two_views", F.col("n") >= 2),
             ("KIT.poses_align", (F.col("m") == F.col("n")) & (F.col("which") == F.col("what"))),
             ("RES.one_registered", F.col("registered") >= 1),
@@ -123,6 +177,22 @@ def mapper_report(views: DataFrame, results: DataFrame, traits: MapperTraits) ->
     )
 
 
+def extractor_report(images: DataFrame, keypoints: DataFrame) -> DataFrame:
+    """Per image: an extractor gives every image keypoints of finite places and descriptors of one size, numbered from 0 without a gap."""
+    finite = lambda c: F.abs(c) < F.lit(float("inf"))
+    got = keypoints.groupBy("image_id").agg(
+        F.count("*").alias("n"),
+        F.count_if(~F.coalesce(finite("x") & finite("y"), F.lit(False))).alias("bad"),
+        F.count_distinct(F.size("descriptor")).alias("sizes"),
+        F.min("idx").alias("low"),
+        F.max("idx").alias("high"),
+        F.count_distinct("idx").alias("places"),
+    )
+    both = images.select("image_id").distinct().join(got, "image_id", "left")
+    numbered = F.col("n").isNull() | ((F.col("low") == 0) & (F.col("high") == F.col("n") - 1) & (F.col("places") == F.col("n")))
+    return _report(both, ["image_id"], [("KIT.extractor_places", F.coalesce("bad", F.lit(0)) == 0), ("KIT.extractor_descriptors", F.coalesce("sizes", F.lit(0)) <= 1), ("KIT.extractor_indices", numbered)])
+
+
 def matcher_report(matches: DataFrame, keypoints: DataFrame, traits: MatcherTraits, verified: DataFrame | None = None) -> DataFrame:
     """Per pair: the mode its traits promise, indices within the keypoints, and a verifier that keeps mode and never grows."""
     counts = keypoints.groupBy("image_id").agg(F.count("*").alias("k"))

@@ -2,7 +2,11 @@
 
 A rule's predicate says what must hold; NULL counts as holding, so empty arrays and
 aggregates of nothing pass. Element types are the schema's business: a typed
-column cannot drift, and Spark has checked it before any rule runs.
+column cannot drift, and Spark has checked it before any rule runs. So these
+checks have no rule of their own but a column type: CAL.types, PAIR.geometry,
+GRAPH.feature_type, GRAPH.pair_type, VIEW.components, CLOUD.tracks_seq, CLOUD.obs_type,
+IMG.type, PVS.typed, PVS.frame, RES.poses_typed, RES.frame, RES.geometry, RES.stats
+(a string map) and RES.dense_seq.
 """
 
 from __future__ import annotations
@@ -163,6 +167,18 @@ def depth_rules(depth: str = "depth", valid: str = "valid") -> list[Rule]:
     ]
 
 
+def depth_map_rules(depth: str = "depth", valid: str = "valid", height: str = "height", width: str = "width") -> list[Rule]:
+    """Per map: depth array<float> and valid array<boolean> or null, both row by row."""
+    n = _c(height) * _c(width)
+    seen = F.when(_c(valid).isNull(), _c(depth)).otherwise(F.filter(F.zip_with(_c(depth), _c(valid), lambda d, v: F.when(F.coalesce(v, F.lit(False)), d)), lambda d: d.isNotNull()))
+    return [
+        Rule("DEPTH.shape", _c(depth).isNotNull() & (F.size(depth) == n), "depth does not fill its size"),
+        Rule("DEPTH.valid_shape", _c(valid).isNull() | (F.size(valid) == n), "the mask of valid pixels does not fill the depth's size"),
+        Rule("DEPTH.finite", all_finite(seen), "valid depth is not finite"),
+        Rule("DEPTH.positive", F.forall(seen, lambda d: d > 0), "valid depth is not positive"),
+    ]
+
+
 def pointmap_rules(xyz: str = "xyz", frame: str = "frame") -> list[Rule]:
     return [
         Rule("PMAP.shape", _c(xyz).isNotNull() & (F.size(xyz) == 3), "a point needs 3 values"),
@@ -271,9 +287,9 @@ def frame_rules(world: str = "world_frame", scale: str = "scale", provenance: st
 
 def image_rules(height: str = "h", width: str = "w", channels: str = "c", pixels: str = "pixels") -> list[Rule]:
     return [
+        Rule("IMG.dtype", F.octet_length(pixels) == _c(height) * _c(width) * F.coalesce(_c(channels), F.lit(1)), "pixels do not fill the image with bytes"),
         Rule("IMG.shape", _c(channels).isNull() | (_c(channels) == 3), "an image has 3 channels or none"),
         Rule("IMG.nonempty", positive(_c(height)) & positive(_c(width)), "image has no pixel"),
-        Rule("IMG.dtype", F.octet_length(pixels) == _c(height) * _c(width) * F.coalesce(_c(channels), F.lit(1)), "pixels do not fill the image with bytes"),
     ]
 
 
@@ -296,6 +312,7 @@ def format_rules() -> list[Rule]:
         Rule("FMT.id", named(_c("format_id")), "format id is empty"),
         Rule("FMT.kind", named(_c("kind")), "format kind is empty"),
         Rule("FMT.media_type", _c("media_type").isNull() | (F.length("media_type") > 0), "media type is empty"),
+        Rule("FMT.description", named(_c("description")), "format description is empty"),
     ]
 
 
@@ -315,9 +332,37 @@ def version_rules() -> list[Rule]:
     return [Rule("DBVER.components", (_c("minor") < 100) & (_c("patch") < 100) & (_c("revision") < 100), "a version part is 100 or more")]
 
 
+def dense_shape_rules(height: str = "h", width: str = "w", conf_height: str = "conf_h", conf_width: str = "conf_w") -> list[Rule]:
+    """Long form: the sizes of a view's pointmap and confidence, where it has both."""
+    return [Rule("RES.dense_shape", (_c(height) == _c(conf_height)) & (_c(width) == _c(conf_width)), "pointmap and confidence differ in size")]
+
+
+def result_rules(poses: str = "poses", calibrations: str = "calibrations", dense: str = "dense") -> list[Rule]:
+    """Per result, nested form: poses array<struct<convention>> and calibrations array, a null entry for a view without;
+    dense array<array<struct<kind, h, w>>>, per view null or its pointmap and confidence. calibrations and dense may be null."""
+    n = F.size(poses)
+    there = F.filter(_c(poses), lambda p: p.isNotNull())
+    each = lambda holds: F.forall(_c(dense), lambda d: d.isNull() | F.coalesce(holds(F.get(d, F.lit(0)), F.get(d, F.lit(1)), d), F.lit(False)))
+    return [
+        Rule("RES.nonempty", _c(poses).isNotNull() & (n >= 1), "a result needs at least one pose"),
+        Rule("RES.one_registered", (n < 1) | (F.size(there) >= 1), "no view is registered"),
+        Rule("RES.mixed_convention", F.size(F.array_distinct(F.transform(there, lambda p: p["convention"]))) <= 1, "poses mix conventions"),
+        Rule("RES.calibrations_aligned", _c(calibrations).isNull() | (F.size(calibrations) == n), "one calibration per view is needed"),
+        Rule("RES.dense_aligned", _c(dense).isNull() | (F.size(dense) == n), "one dense entry per view is needed"),
+        Rule("RES.dense_pair", each(lambda a, b, d: F.size(d) == 2), "a dense entry is a pair"),
+        Rule("RES.dense_member", each(lambda a, b, d: (F.size(d) != 2) | ((a["kind"] == "pointmap") & (b["kind"] == "confidence"))), "a dense entry is a pointmap and a confidence"),
+        Rule("RES.dense_shape", each(lambda a, b, d: (F.size(d) != 2) | ((a["h"] == b["h"]) & (a["w"] == b["w"]))), "pointmap and confidence differ in size"),
+    ]
+
+
 # Aggregate rules, for group_violations.
 
 
+def nonempty_rule(rule_id: str, member: str) -> Rule:
+    """A group has a member; groups without one come from a left join, with a null member."""
+    return Rule(rule_id, F.count(member) >= 1, "there is no member")
+
+
 def pose_set_rules(pose: str = "r", convention: str = "convention") -> list[Rule]:
     """Per run: at least one registered pose, one convention among them."""
     return [

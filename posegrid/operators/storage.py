@@ -14,7 +14,8 @@ def with_sha(df: DataFrame, content: str = "content") -> DataFrame:
 
 def new_blobs(df: DataFrame, store: DataFrame, content: str = "content") -> DataFrame:
     """Of df's blobs those the store lacks, each once: sha, size, content."""
-    return with_sha(df, content).select("sha", "size", content).dropDuplicates(["sha"]).join(store.select("sha"), "sha", "left_anti")
+    lacking = with_sha(df, content).select("sha", "size", content).join(store.select("sha"), "sha", "left_anti")
+    return lacking.dropDuplicates(["sha"])  # only what the store lacks moves with its bytes
 
 
 def exists(wanted: DataFrame, store: DataFrame) -> DataFrame:
@@ -25,6 +26,16 @@ def missing(wanted: DataFrame, store: DataFrame) -> DataFrame:
     return wanted.join(store.select("sha"), "sha", "left_anti")
 
 
+def open_blobs(wanted: DataFrame, store: DataFrame) -> DataFrame:
+    """The stored rows (sha, content, ...) of the wanted addresses, each once; unknown addresses give none."""
+    return store.join(wanted.select("sha").distinct(), "sha", "left_semi")
+
+
+def local_path(root: Column, sha: Column) -> Column:
+    """Where a store in a folder keeps a blob; null for what is no address."""
+    return F.when(sha.rlike("^[0-9a-f]{64}$") & (F.length(sha) == 64), F.concat(F.regexp_replace(root, "/+$", ""), F.lit("/"), F.substring(sha, 1, 2), F.lit("/"), sha))
+
+
 def delete(store: DataFrame, doomed: DataFrame) -> DataFrame:
     """The store without the doomed blobs."""
     return store.join(doomed.select("sha"), "sha", "left_anti")
@@ -75,6 +86,15 @@ def duplicate_sequences(existing: DataFrame, new: DataFrame, job: str = "job") -
     return new.join(existing.select(job, "seq").distinct(), [job, "seq"], "left_semi")
 
 
+def append_checkpoints(existing: DataFrame, new: DataFrame, job: str = "job") -> DataFrame:
+    """The new checkpoints with the path they are written to; reading fails at a number the job already has, or has twice among the new."""
+    name = F.concat(checkpoint_root(F.concat(F.lit("/"), F.col(job).cast("string"))), F.lit("/"), checkpoint_name(F.col("seq")))
+    taken = existing.select(job, "seq").unionByName(new.select(job, "seq")).groupBy(job, "seq").agg(F.count("*").alias("_n"))
+    fault = F.concat(F.lit("CKPT.duplicate_seq: "), F.col(job).cast("string"), F.lit(" "), F.col("seq").cast("string"))
+    fresh = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(fault).cast("boolean"))
+    return new.join(taken, [job, "seq"]).where(fresh).drop("_n").withColumn("path", name)
+
+
 def latest(checkpoints: DataFrame, job: str = "job") -> DataFrame:
     """Per job the last checkpoint by file name."""
     best = checkpoints.groupBy(job).agg(F.max(F.struct(checkpoint_name(F.col("seq")).alias("name"), "seq")).alias("m"))

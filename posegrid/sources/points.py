@@ -4,17 +4,21 @@ Read either with the data source `points_v1` (byte ranges become partitions, any
 record is reached by its offset) or from a binary column. Input order is kept,
 identifiers are unsigned 64-bit numbers (decimal(20,0)), and integers wrap silently when
 written. Bytes after the last record are ignored; the box in the header is not
-checked against the points.
+checked against the points. The data source takes paths and URIs of any file system
+that Arrow knows.
 """
 
 from __future__ import annotations
 
-import os
+import itertools
 import struct
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -110,13 +114,30 @@ def encode(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).applyInArrow(run, f"`{key}` {kind}, content binary")
 
 
+def blob_size(n: Column) -> Column:
+    """Bytes of a blob of n points."""
+    return F.lit(HEADER_SIZE).cast("long") + F.lit(RECORD_SIZE).cast("long") * n
+
+
 def wrap_unsigned(x: Column, bits: int) -> Column:
     """The value that an unsigned field of so many bits keeps."""
     if bits == 64:
-        return F.pmod(x.cast("decimal(20,0)"), F.lit("18446744073709551616").cast("decimal(20,0)")).cast("decimal(20,0)")
+        return F.pmod(x.cast("decimal(38,0)"), F.lit("18446744073709551616").cast("decimal(38,0)")).cast("decimal(20,0)")
     return x.cast("long").bitwiseAND(F.lit((1 << bits) - 1))
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path or URI, one that drivers and executors share, and the path in it."""
+    if "://" in path or path.startswith("file:"):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), path.rstrip("/") or "/"
+
+
+def _points_files(files: pafs.FileSystem, path: str) -> list[pafs.FileInfo]:
+    infos = files.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+    return sorted((i for i in infos if i.path.endswith(".points")), key=lambda i: i.path)
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, start: int, stop: int):
         self.path, self.start, self.stop = path, start, stop
@@ -128,18 +149,19 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         """Byte ranges of the file, or of every *.points file of a folder, by headers alone."""
-        paths = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if f.endswith(".points"))
+        files, path = _store(self.path)
+        found = [files.get_file_info(path)] if files.get_file_info(path).type == pafs.FileType.File else _points_files(files, path)
         out: list[InputPartition] = []
-        for path in paths:
-            with open(path, "rb") as f:
+        for info in found:
+            with files.open_input_file(info.path) as f:
                 count, _, _ = read_header(f.read(HEADER_SIZE))
-            if os.path.getsize(path) - HEADER_SIZE < count * RECORD_SIZE:
+            if info.size - HEADER_SIZE < count * RECORD_SIZE:
                 raise PointsError("PTS.too_small_records: buffer too small for records")
-            out += [_Range(path, a, min(a + self.step, count)) for a in range(0, count, self.step)]
+            out += [_Range(info.path, a, min(a + self.step, count)) for a in range(0, count, self.step)]
         return out
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
+        with _store(self.path)[0].open_input_file(partition.path) as f:
             f.seek(HEADER_SIZE + RECORD_SIZE * partition.start)
             left = partition.stop - partition.start
             while left:
@@ -154,38 +176,36 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Each task writes its rows as a points file of its own, with its own count and box."""
+    """Each task attempt writes its rows as a points file of its own, with its own count and box.
+
+    Names begin with `_` and hold the job's and the attempt's id until the commit gives
+    the files of the winning attempts their names; only then do the old files go.
+    """
 
     def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"]
-        if os.path.isdir(self.path):
-            old = [f for f in os.listdir(self.path) if f.endswith(".points")]
-            if old and not overwrite:
-                raise PointsError(f"{self.path} already holds points")
-            for f in old:
-                os.remove(os.path.join(self.path, f))
-        os.makedirs(self.path, exist_ok=True)
+        self.path, self.job, self.overwrite = options["path"], uuid.uuid4().hex[:8], overwrite
+        files, path = _store(self.path)
+        files.create_dir(path, recursive=True)
+        if not overwrite and _points_files(files, path):
+            raise PointsError(f"{self.path} already holds points")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         from pyspark import TaskContext
 
-        target = os.path.join(self.path, f"part-{TaskContext.get().partitionId():05d}.points")
+        files, path = _store(self.path)
+        task = TaskContext.get()
+        target = f"{path}/_{self.job}-{task.partitionId():05d}-{task.taskAttemptId()}"
         count, low, high = 0, np.full(3, np.inf), np.full(3, -np.inf)
-        with open(f"{target}.tmp", "wb") as f:
-            f.write(b"\0" * HEADER_SIZE)
-            batch: list = []
-            for row in rows:
-                batch.append(row.asDict())
-                if len(batch) == READ_ROWS:
-                    count, low, high = self._flush(f, batch, count, low, high)
-                    batch = []
-            if batch:
-                count, low, high = self._flush(f, batch, count, low, high)
-            f.seek(0)
-            f.write(header(count, tuple(low) if count else (0, 0, 0), tuple(high) if count else (0, 0, 0)))
-        if not count:
-            os.remove(f"{target}.tmp")
-            return _Written(None)
+        with tempfile.TemporaryFile() as body:  # this task's own scratch: the header comes first but is known last
+            while batch := list(itertools.islice(rows, READ_ROWS)):
+                count, low, high = self._flush(body, [r.asDict() for r in batch], count, low, high)
+            if not count:
+                return _Written(None)
+            body.seek(0)
+            with files.open_output_stream(target) as f:
+                f.write(header(count, tuple(low), tuple(high)))
+                while piece := body.read(1 << 20):
+                    f.write(piece)
         return _Written(target)
 
     @staticmethod
@@ -196,14 +216,24 @@ class _Writer(DataSourceWriter):
         return count + len(rows), np.minimum(low, xyz.min(axis=1)), np.maximum(high, xyz.max(axis=1))
 
     def commit(self, messages: list) -> None:
+        files, path = _store(self.path)
+        old = [i.path for i in _points_files(files, path)] if self.overwrite else []
         for m in messages:
             if m is not None and m.path:
-                os.replace(f"{m.path}.tmp", m.path)
+                part = m.path.rsplit("-", 2)[1]
+                files.move(m.path, f"{path}/part-{part}-{self.job}.points")
+        for name in old:
+            files.delete_file(name)
+        self._sweep(files, path)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            if m is not None and m.path and os.path.exists(f"{m.path}.tmp"):
-                os.remove(f"{m.path}.tmp")
+        self._sweep(*_store(self.path))
+
+    def _sweep(self, files: pafs.FileSystem, path: str) -> None:
+        """Drop what lost and failed attempts of this job have left."""
+        for info in files.get_file_info(pafs.FileSelector(path)):
+            if info.base_name.startswith(f"_{self.job}-"):
+                files.delete_file(info.path)
 
 
 class PointsDataSource(DataSource):

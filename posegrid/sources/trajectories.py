@@ -39,7 +39,17 @@ def read_cameras_text(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path).select(at(0).cast("long").alias("camera_id"), at(1).alias("model"), at(2).cast("int").alias("width"), at(3).cast("int").alias("height"), params.alias("params"))
 
 
-def read_euroc(spark: SparkSession, path: str) -> DataFrame:
-    """timestamp [ns], px, py, pz, qw, qx, qy, qz, ...; body to world."""
+def read_euroc(spark: SparkSession, path: str, camera_to_body: list[float] | None = None) -> DataFrame:
+    """timestamp [ns], px, py, pz, qw, qx, qy, qz, ...; the file's poses are body to world.
+
+    camera_to_body, 16 numbers row by row as in a sensor's calibration, makes them
+    camera to world; without it the body itself is taken for the camera.
+    """
     q = _doubles(4, 0, 1, 2, 3)
-    return _fields(spark, path).select(F.get("f", F.lit(0)).cast("long").alias("timestamp_ns"), G.quat_to_rotation(G.normalised(q, 4)).alias("r"), _doubles(1, 0, 1, 2).alias("t"), F.lit(G.CAM2WORLD).alias("convention"))
+    body = _fields(spark, path).select(F.get("f", F.lit(0)).cast("long").alias("timestamp_ns"), G.quat_to_rotation(G.normalised(q, 4)).alias("r"), _doubles(1, 0, 1, 2).alias("t"))
+    if camera_to_body is not None:
+        m = [float(x) for x in camera_to_body]
+        columns = [F.array(*(F.lit(m[4 * i + k]) for i in range(3))) for k in range(4)]  # of the rotation, then the translation
+        turned = body.select("timestamp_ns", *(G.rotated("r", columns[k]).alias(f"c{k}") for k in range(3)), G.apply_se3("r", "t", columns[3]).alias("t"))
+        body = turned.select("timestamp_ns", F.array(*(F.get(f"c{k}", F.lit(i)) for i in range(3) for k in range(3))).alias("r"), "t")
+    return body.withColumn("convention", F.lit(G.CAM2WORLD))

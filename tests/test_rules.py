@@ -88,8 +88,8 @@ def test_more_rule_lists(spark):
     assert found(df, R.mask_rules()) == [(2, "MASK.shape")]
     df = spark.createDataFrame([(1, [0.0, math.nan, 1.0], "world"), (2, [0.0], "moon")], "k int, xyz array<double>, frame string")
     assert found(df, R.pointmap_rules()) == [(2, "PMAP.frame"), (2, "PMAP.shape")]
-    df = spark.createDataFrame([(1, "", 0, "f", "k", None), (2, None, None, "", "k", "")], "k int, name string, max_views int, format_id string, kind string, media_type string")
-    assert found(df, R.view_rules() + R.option_rules() + R.format_rules()) == [(1, "OPT.max_views"), (1, "VIEW.name"), (2, "FMT.id"), (2, "FMT.media_type")]
+    df = spark.createDataFrame([(1, "", 0, "f", "k", None, "d"), (2, None, None, "", "k", "", "")], "k int, name string, max_views int, format_id string, kind string, media_type string, description string")
+    assert found(df, R.view_rules() + R.option_rules() + R.format_rules()) == [(1, "OPT.max_views"), (1, "VIEW.name"), (2, "FMT.description"), (2, "FMT.id"), (2, "FMT.media_type")]
 
 
 def test_groups_and_enforce(spark):
@@ -106,3 +106,22 @@ def test_groups_and_enforce(spark):
 def test_repartitioning_does_not_matter(spark):
     df = spark.range(200).select(F.col("id").alias("k"), (F.col("id") % 7 - 1.0).alias("depth"), F.lit(True).alias("valid"))
     assert found(df, R.depth_rules()) == found(df.repartition(7), R.depth_rules())
+
+
+def test_results_and_depth_maps(spark):
+    schema = "k int, poses array<struct<convention:string>>, calibrations array<string>, dense array<array<struct<kind:string,h:int,w:int>>>"
+    p, m, c = ("opencv_cam2world",), ("pointmap", 2, 3), ("confidence", 2, 3)
+    rows = [
+        (1, [p, None], None, None), (2, [], None, None), (3, [None, None], ["x", None], [None, None]), (4, [p, p], ["x"], [[m, c]]),
+        (5, [p, p], None, [[m], None]), (6, [p, p], None, [[c, m], None]), (7, [p, p], None, [None, [m, ("confidence", 3, 2)]]), (8, [p, ("opencv_world2cam",)], None, [[m, c], [m, c]]),
+    ]
+    assert found(spark.createDataFrame(rows, schema), R.result_rules()) == [
+        (2, "RES.nonempty"), (3, "RES.one_registered"), (4, "RES.calibrations_aligned"), (4, "RES.dense_aligned"), (5, "RES.dense_pair"), (6, "RES.dense_member"), (7, "RES.dense_shape"), (8, "RES.mixed_convention"),
+    ]
+    first = R.first_violation(spark.createDataFrame(rows, schema), R.result_rules(), "k").where("k = 4").first()
+    assert first["rule_id"] == "RES.calibrations_aligned"
+    maps = [(1, [math.nan, 1.5], [False, True]), (2, [math.nan, 1.5], None), (3, [0.0, 1.0], [True, None]), (4, [1.0], [True]), (5, [1.0, 1.0], [True]), (6, [math.nan, -1.0], [False, False])]
+    df = spark.createDataFrame(maps, "k int, depth array<float>, valid array<boolean>").selectExpr("*", "1 AS height", "2 AS width")
+    assert found(df, R.depth_map_rules()) == [(2, "DEPTH.finite"), (3, "DEPTH.positive"), (4, "DEPTH.shape"), (4, "DEPTH.valid_shape"), (5, "DEPTH.valid_shape")]
+    image = spark.createDataFrame([(1, 0, 2, 4, bytearray(b"x"))], "k int, h int, w int, c int, pixels binary")
+    assert R.first_violation(image, R.image_rules(), "k").first()["rule_id"] == "IMG.dtype"

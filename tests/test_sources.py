@@ -150,3 +150,68 @@ def test_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r["k"], r["rule_id"]) for r in spark.table("breaches").collect()] == [(2, "CONF.range")]
+
+
+def test_euroc_camera(spark, tmp_path):
+    """The camera's pose is the body's, times the camera's place on the body."""
+    (tmp_path / "euroc.csv").write_text("10,1,2,3,0.7071067811865476,0,0,0.7071067811865476\n")  # a quarter turn about z
+    mount = [0, -1, 0, 0.5, 1, 0, 0, 0.25, 0, 0, 1, 0, 0, 0, 0, 1]
+    got = trajectories.read_euroc(spark, str(tmp_path / "euroc.csv"), mount).first()
+    assert got["r"] == pytest.approx([-1, 0, 0, 0, -1, 0, 0, 0, 1], abs=1e-12) and got["t"] == pytest.approx([0.75, 2.5, 3.0], abs=1e-12)
+
+
+def test_points_uri_and_overwrite(spark, tmp_path):
+    spark.dataSource.register(points.PointsDataSource)
+    make = lambda n: spark.range(n, numPartitions=2).selectExpr("CAST(id AS DECIMAL(20,0)) AS point3d_id", "CAST(id AS FLOAT) AS x", "0f AS y", "0f AS z", "CAST(1 AS SHORT) AS r", "CAST(1 AS SHORT) AS g", "CAST(1 AS SHORT) AS b", "1 AS track_len")
+    where = f"file://{tmp_path}/out"
+    for n in (9, 4):
+        make(n).write.format("points_v1").mode("overwrite").save(where)
+        assert spark.read.format("points_v1").load(where).count() == n
+    assert all(f.name.startswith("part-") for f in (tmp_path / "out").iterdir())
+    with pytest.raises(Exception, match="already holds points"):
+        make(1).write.format("points_v1").mode("append").save(where)
+    failing = make(4).selectExpr("point3d_id", "IF(x = 3, CAST(raise_error('stop') AS FLOAT), x) AS x", "y", "z", "r", "g", "b", "track_len")
+    with pytest.raises(Exception, match="stop"):
+        failing.write.format("points_v1").mode("overwrite").save(where)
+    assert spark.read.format("points_v1").load(where).count() == 4  # the old files go with a commit only
+
+
+def test_checkpoint_append_and_blob_open(spark):
+    old = spark.createDataFrame([("j", 1), ("k", 1)], "job string, seq long")
+    fresh = spark.createDataFrame([("j", 2), ("l", 1)], "job string, seq long")
+    assert sorted(r["path"] for r in storage.append_checkpoints(old, fresh).collect()) == ["/j/checkpoints/00000002.pcmapin", "/l/checkpoints/00000001.pcmapin"]
+    for bad in (old.where("job = 'k'"), fresh.unionByName(fresh)):
+        with pytest.raises(Exception, match="CKPT.duplicate_seq"):
+            storage.append_checkpoints(old, bad).collect()
+    store = storage.with_sha(spark.createDataFrame([("a",), ("b",)], "content string"))
+    wanted = store.where("content = 'a'").select("sha")
+    got = storage.open_blobs(wanted.unionByName(wanted), store).select("content", storage.local_path(F.lit("/s"), F.col("sha")).alias("p"), "sha").collect()
+    assert [(r["content"], r["p"]) for r in got] == [("a", f"/s/{got[0]['sha'][:2]}/{got[0]['sha']}")]
+
+
+def test_mapper_arguments(spark):
+    views = spark.createDataFrame([("s", 0), ("s", 1), ("t", 0)], "scene string, view_idx int")
+    seen = views.select("scene").distinct().where("scene = 's'").selectExpr("scene", "1 AS a")
+
+    def mapper(t, matches=None, options=None):
+        if matches is None:
+            raise proc.ContractViolation("matches are needed")
+        n = t.num_rows
+        rows = [{"scene": s, "view_idx": v, "r": None, "t": None, "convention": str(matches.num_rows), "dense": False, "scale": str(options.seed if options else None)} for s, v in zip(t.column("scene").to_pylist(), t.column("view_idx").to_pylist())]
+        return proc._no_results().schema.empty_table() if not n else proc.pa.Table.from_pylist(rows, proc._no_results().schema)
+
+    got = {(r["scene"], r["view_idx"]): (r["convention"], r["scale"]) for r in proc.map_views(views, mapper, seen, proc.Options(seed=7)).collect()}
+    assert got == {("s", 0): ("1", "7"), ("s", 1): ("1", "7"), ("t", 0): ("0", "7")}
+    assert {r["scene"]: r["refused"] for r in proc.refusals(views, mapper).collect()} == {"s": True, "t": True}
+    with pytest.raises(Exception, match="OPT.max_views"):
+        proc.map_views(views, mapper, seen, proc.Options(max_views=1)).collect()
+    with pytest.raises(Exception, match="matches are needed"):
+        proc.map_views(views, mapper).collect()
+
+
+def test_extractor_report(spark):
+    images_ = spark.createDataFrame([("a",), ("b",), ("c",)], "image_id string")
+    rows = [("a", 0, 1.0, 2.0, [1.0, 2.0]), ("a", 1, 1.0, 3.0, [1.0, 2.0]), ("b", 1, float("nan"), 2.0, [1.0]), ("b", 1, 1.0, 2.0, [1.0, 2.0])]
+    points_ = spark.createDataFrame(rows, "image_id string, idx long, x float, y float, descriptor array<float>")
+    got = {(r["image_id"], r["rule_id"]): r["holds"] for r in proc.extractor_report(images_, points_).collect()}
+    assert all(got[i, f"KIT.extractor_{k}"] == (i != "b") for i in "abc" for k in ("places", "descriptors", "indices"))
