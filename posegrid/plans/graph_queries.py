@@ -65,9 +65,9 @@ def track_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_partkey AS point_id, count(*) AS seen FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 1 + o_custkey % 5 GROUP BY l_partkey")
 def track_keypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Track observations whose keypoint exists."""
-    line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("point_id"), F.col("l_orderkey").alias("image"), F.col("l_linenumber").alias("idx"))
-    counts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image"), (1 + F.col("o_custkey") % 5).alias("n"))
-    return line.join(counts, "image").where("idx <= n").groupBy("point_id").agg(F.count("*").alias("seen"))
+    line = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("point_id"), F.col("l_orderkey").alias("image_id"), (F.col("l_linenumber") - 1).alias("keypoint_idx"))
+    counts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("image_id"), (1 + F.col("o_custkey") % 5).alias("n"))
+    return graph.known_observations(line, counts).groupBy("point_id").agg(F.count("*").alias("seen"))
 
 
 _VIEWS = "SELECT o_custkey AS run, o_orderkey AS view, o_orderstatus AS s, o_orderkey % 3 = 0 AS posed, CASE WHEN o_orderkey % 2 = 0 THEN 'opencv_cam2world' ELSE 'opencv_world2cam' END AS conv FROM orders"
@@ -91,9 +91,8 @@ def view_pose_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT run, string_agg(CASE WHEN posed THEN '1' ELSE '0' END, '' ORDER BY view) AS mask, count(*) FILTER (posed) AS registered FROM ({_VIEWS}) GROUP BY run")
 def registered_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nested = F.array_sort(F.collect_list(F.struct("view", F.col("r").isNotNull().alias("ok"))))
-    mask = F.array_join(F.transform("m", lambda s: F.when(s["ok"], "1").otherwise("0")), "")
-    return _views(spark, sf_dir).groupBy("run").agg(nested.alias("m"), F.count("r").alias("registered")).select("run", mask.alias("mask"), "registered")
+    found = graph.registered_mask(_views(spark, sf_dir), "run", "view", "r")
+    return found.select("run", F.array_join(F.transform("mask", lambda m: F.when(m, "1").otherwise("0")), "").alias("mask"), "registered")
 
 
 @query(f"SELECT run, 'RES.one_registered' AS rule_id FROM ({_VIEWS}) GROUP BY run HAVING count(*) FILTER (posed) = 0")
@@ -121,10 +120,9 @@ def posed_view_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dense_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pointmap and confidence of a view must be of one size."""
-    points = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("view")).agg(F.max("l_linenumber").alias("h"))
-    conf = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("view"), (1 + F.col("o_custkey") % 7).alias("conf_h"))
-    both = points.join(conf, "view")
-    return rules.violations(both, [rules.Rule("RES.dense_shape", F.col("h") == F.col("conf_h"), "sizes differ")], "view").select("view", "rule_id")
+    points = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("view")).agg(F.max("l_linenumber").alias("h"), F.lit(3).alias("w"))
+    conf = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("view"), (1 + F.col("o_custkey") % 7).alias("conf_h"), F.lit(3).alias("conf_w"))
+    return rules.violations(points.join(conf, "view"), rules.dense_shape_rules(), "view").select("view", "rule_id")
 
 
 @query("SELECT e.event_id, CASE WHEN e.event_id % 5 <> 0 THEN e.user_id END AS time_id, CASE WHEN e.event_id % 5 = 0 THEN 'static' WHEN e.event_id % 13 = 0 THEN 'differs' ELSE 'echoed' END AS state FROM events e")
@@ -138,7 +136,7 @@ def image_time_echo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.join(frames, "event_id").select("event_id", "time_id", state.alias("state"))
 
 
-def _scene_mapper(t: pa.Table) -> pa.Table:
+def _scene_mapper(t: pa.Table, matches: pa.Table | None = None) -> pa.Table:
     """A mapper for the report: identity poses, none for every third view."""
     n = t.num_rows
     views = t.column("view_idx").to_pylist()
@@ -153,20 +151,37 @@ def _scene_mapper(t: pa.Table) -> pa.Table:
     )
 
 
-@query()
+@query(
+    """WITH s AS (SELECT conv_id, count(*) AS n, count(*) FILTER (turn % 3 <> 2) AS posed, count(*) FILTER (turn % 3 <> 2 AND turn % 2 <> 0) AS bare FROM conversations GROUP BY conv_id),
+       r AS (SELECT unnest(['KIT.two_views', 'KIT.poses_align', 'RES.one_registered', 'RES.mixed_convention', 'KIT.emits_dense', 'KIT.metric_capable', 'KIT.requires_correspondences']) AS rule_id)
+       SELECT CAST(conv_id AS VARCHAR) AS scene, rule_id,
+              CASE rule_id WHEN 'KIT.two_views' THEN n >= 2 WHEN 'RES.one_registered' THEN posed >= 1 WHEN 'KIT.emits_dense' THEN bare = 0 WHEN 'KIT.requires_correspondences' THEN n % 2 = 1 ELSE true END AS holds
+       FROM s, r"""
+)
 def mapper_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as scenes, turns as views, and what a mapper that claims dense output keeps of its word."""
     views = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("scene"), F.col("turn").cast("int").alias("view_idx"))
-    results = procedures.map_views(views, _scene_mapper)
-    return procedures.mapper_report(views, results, procedures.MapperTraits(emits_dense=True))
+    matches = views.select("scene", (F.col("view_idx") - 1).alias("a"), F.col("view_idx").alias("b"))
+    results = procedures.map_views(views, _scene_mapper, matches)
+    traits = procedures.MapperTraits(emits_dense=True, requires_correspondences=True)
+    return procedures.mapper_report(views, results, traits, procedures.refusals(views, _refusing_mapper))
+
+
+def _refusing_mapper(t: pa.Table, matches: pa.Table | None = None) -> pa.Table:
+    """Refuses scenes of an odd number of views without matches, as its traits say for all."""
+    if matches is None and t.num_rows % 2:
+        raise procedures.ContractViolation("matches are needed")
+    return _scene_mapper(t, matches)
 
 
 def _index_matcher(a: pa.Table, b: pa.Table) -> pa.Table:
-    """Matches keypoints of equal rank."""
+    """Matches keypoints of equal rank; where the first image's number divides by 3, one place too far in the second."""
     n = min(a.num_rows, b.num_rows)
     first = lambda t, c: t.column(c)[0].as_py()
     ia, ib = sorted(a.column("idx").to_pylist())[:n], sorted(b.column("idx").to_pylist())[:n]
     none = pa.nulls(n, pa.float32())
+    if n and first(a, "image_a").isdigit() and int(first(a, "image_a")) % 3 == 0:
+        ib = [k + 1 for k in ib]
     names = ["image_a", "image_b", "m", "mode", "idx_a", "idx_b", "xa", "ya", "xb", "yb", "score"]
     pair = (first(a, "image_a"), first(a, "image_b")) if n else ("", "")
     cols = [pa.array([pair[0]] * n, pa.string()), pa.array([pair[1]] * n, pa.string()), pa.array(range(n), pa.int64()), pa.array(["indexed"] * n, pa.string()), pa.array(ia, pa.int64()), pa.array(ib, pa.int64()), none, none, none, none, pa.array([1.0] * n, pa.float32())]
@@ -177,7 +192,12 @@ def _even_verifier(t: pa.Table) -> pa.Table:
     return t.filter(pc.equal(pc.bit_wise_and(t.column("m"), 1), 0))
 
 
-@query()
+@query(
+    """WITH k AS (SELECT label, count(*) AS k FROM embeddings GROUP BY label),
+       p AS (SELECT a.label, a.k AS ka, b.k AS kb FROM k a JOIN k b ON b.label = a.label + 1),
+       r AS (SELECT unnest(['KIT.mode', 'KIT.index_range', 'KIT.verifier_mode', 'KIT.verifier_never_grows']) AS rule_id)
+       SELECT CAST(label AS VARCHAR) AS image_a, CAST(label + 1 AS VARCHAR) AS image_b, rule_id, rule_id <> 'KIT.index_range' OR label % 3 <> 0 OR ka < kb AS holds FROM p, r"""
+)
 def matcher_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as images, vectors as keypoints: consecutive labels are matched, verified and reported on."""
     e = table(spark, sf_dir, "embeddings")

@@ -84,9 +84,8 @@ def world2cam_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = _poses(spark, sf_dir).select("vec_id", G.quat_to_rotation(G.normalised("q", 4)).alias("r"), "t")
     r, t, c = G.as_convention("r", "t", F.lit(G.WORLD2CAM), G.CAM2WORLD)
     poses = made.select("vec_id", r.alias("r"), t.alias("t"), c.alias("convention"))
-    r, t, _ = G.as_convention("r", "t", "convention", G.WORLD2CAM)  # step by step, so that no expression grows
-    back = poses.select("vec_id", r.alias("r"), t.alias("t"))
-    return back.select("vec_id", G.rotation_to_quat("r").alias("q"), "t").select("vec_id", *spread("q", 4, "q"), *spread("t", 3, "t"))
+    q, t = G.to_world2cam("r", "t", "convention")
+    return poses.select("vec_id", q.alias("q"), t.alias("t")).select("vec_id", *spread("q", 4, "q"), *spread("t", 3, "t"))
 
 
 @query(f"WITH {_BASE} SELECT vec_id, {_out(_R, _RT)}, {_out(_T, _INV)}, {_FLIP} AS convention FROM inv")

@@ -16,7 +16,7 @@ def _values(rows: list[tuple]) -> str:
     return "VALUES " + ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
 
 
-_FORMATS = _values(registry.FORMATS)
+_FORMATS = _values([f[:2] for f in registry.FORMATS])
 _TYPES = _values(registry.DATA_TYPES)
 _COLUMNS = _values([(t, o, c, k, te, ce) for _, t, o, c, k, te, ce in schemas.column_rows()])
 

@@ -254,9 +254,8 @@ def image_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _found(made.withColumn("pixels", F.repeat(F.lit("x"), bytes_).cast("binary")), rules.image_rules(), "event_id")
 
 
-@query("SELECT 0 + 1 AS id WHERE false")
+@query("SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY l_returnflag")
 def enforced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enforcement of a rule that all rows keep, read for the rows that break it: none."""
-    e = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"))
-    fine = rules.enforce(e, [rules.Rule("ID", F.col("id") >= 0, "negative")])
-    return fine.where("id < 0")
+    """All lines pass an enforced rule; one that breaks it would stop the query, as a unit test shows."""
+    lines = table(spark, sf_dir, "lineitem").withColumn("conf", F.abs("l_discount"))
+    return rules.enforce(lines, rules.confidence_rules()).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))

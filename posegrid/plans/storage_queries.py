@@ -42,6 +42,15 @@ def blob_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.missing(docs.select("sha"), docs.where("doc_id % 3 = 0").select("sha").distinct()).groupBy("sha").agg(F.count("*").alias("wanted"))
 
 
+@query("SELECT sha256(text) AS sha, min(doc_id) AS doc_id, '/store/' || substr(sha256(text), 1, 2) || '/' || sha256(text) AS path FROM documents WHERE text IS NOT NULL GROUP BY text HAVING min(doc_id) % 3 = 0")
+def blob_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third blob of a store, found by its address, and where a folder would hold it."""
+    docs = storage.with_sha(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "text")
+    store = docs.groupBy("sha").agg(F.min("doc_id").alias("doc_id"))
+    wanted = store.where("doc_id % 3 = 0").select("sha").unionByName(store.limit(0).select("sha"))
+    return storage.open_blobs(wanted, store).select("sha", "doc_id", storage.local_path(F.lit("/store/"), F.col("sha")).alias("path"))
+
+
 @query("SELECT sha256(text) AS sha, count(*) AS kept FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 5 = 0) GROUP BY 1")
 def blob_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = storage.with_sha(table(spark, sf_dir, "documents").where("text IS NOT NULL"), "text").select("doc_id", "sha")
@@ -89,6 +98,13 @@ def checkpoint_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.list_checkpoints(files, summaries).select("job", "seq", "name", "summary")
 
 
+@query(f"SELECT job, seq + 1000000 AS seq, '/' || CAST(job AS VARCHAR) || '/checkpoints/' || lpad(CAST(seq + 1000000 AS VARCHAR), 8, '0') || '.pcmapin' AS path FROM ({_SEQ}) WHERE seq % 4 = 0")
+def checkpoint_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New checkpoints with the paths they go to; none of them has a number the job already has."""
+    c = _checkpoints(spark, sf_dir).select("job", "seq")
+    return storage.append_checkpoints(c, c.where("seq % 4 = 0").select("job", (F.col("seq") + 1_000_000).alias("seq"))).select("job", "seq", "path")
+
+
 @query(f"SELECT job, max(seq) AS seq, lpad(CAST(max(seq) AS VARCHAR), 8, '0') || '.pcmapin' AS name FROM ({_SEQ}) GROUP BY job")
 def checkpoint_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.latest(_checkpoints(spark, sf_dir).select("job", "seq"))
@@ -139,18 +155,16 @@ def points_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT blob, 44 + 26 * count(*) AS bytes, CAST(44 AS BIGINT) AS first_record, 44 + 26 * (count(*) - 1) AS last_record FROM ({_POINT}) GROUP BY blob")
 def points_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blobs = points.encode(_cloud(spark, sf_dir), "blob", "point3d_id")
-    n = F.octet_length("content").cast("long")
-    return blobs.select("blob", n.alias("bytes"), F.lit(points.HEADER_SIZE).cast("long").alias("first_record"), (n - points.RECORD_SIZE).alias("last_record"))
+    sized = _cloud(spark, sf_dir).groupBy("blob").agg(points.blob_size(F.count("*")).alias("bytes"))
+    return sized.select("blob", "bytes", F.lit(points.HEADER_SIZE).cast("long").alias("first_record"), (F.col("bytes") - points.RECORD_SIZE).alias("last_record"))
 
 
 @query(f"SELECT CAST(id AS DECIMAL(20,0)) AS key, CAST(r AS BIGINT) AS r, CAST(track_len AS BIGINT) AS track_len, CAST(id AS DECIMAL(20,0)) AS wrapped FROM ({_POINT})")
 def points_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Integers as the record's unsigned fields keep them."""
     cloud = _cloud(spark, sf_dir)
-    over = F.col("point3d_id").cast("decimal(21,0)") + F.lit("18446744073709551616").cast("decimal(21,0)")
-    wrapped = F.pmod(over, F.lit("18446744073709551616").cast("decimal(21,0)")).cast("decimal(20,0)")
-    return cloud.select(F.col("point3d_id").alias("key"), points.wrap_unsigned(F.col("r"), 8).alias("r"), points.wrap_unsigned(F.col("track_len"), 16).alias("track_len"), wrapped.alias("wrapped"))
+    over = F.col("point3d_id").cast("decimal(38,0)") + F.lit("18446744073709551616").cast("decimal(38,0)") * (F.col("g") - 100)
+    return cloud.select(F.col("point3d_id").alias("key"), points.wrap_unsigned(F.col("r"), 8).alias("r"), points.wrap_unsigned(F.col("track_len"), 16).alias("track_len"), points.wrap_unsigned(over, 64).alias("wrapped"))
 
 
 @query()

@@ -20,19 +20,19 @@ DATA_TYPES = [
 ]
 DATA_TYPE_KINDS = ("scene_input", "artifact")
 DATA_TYPES_CONTRACT, DATA_TYPES_CONTRACT_VERSION = "datatypes", 1
-# Formats as (id, kind); none has a media type.
+# Fixed values of the exported contract: formats as (id, kind, description); none has a media type.
 FORMATS = [
-    ("sfmapi.features.local.v1", "feature_set"),
-    ("sfmapi.features.global.v1", "feature_set"),
-    ("sfmapi.pairs.image_names.v1", "pair_set"),
-    ("sfmapi.matches.indexed.v1", "match_graph"),
-    ("sfmapi.matches.coordinates.v1", "match_graph"),
-    ("sfmapi.matches.dense.v1", "match_graph"),
-    ("sfmapi.matches.verified.v1", "match_graph"),
-    ("sfmapi.reconstruction.sparse.v1", "sparse_model"),
-    ("sfmapi.reconstruction.snapshot.v1", "sparse_model"),
-    ("sfmapi.reconstruction.submodel.v1", "sparse_model"),
-    ("sfmapi.projection.images.v1", "projection"),
+    ("sfmapi.features.local.v1", "feature_set", "Versioned interchange manifest for per-image keypoints, descriptors, descriptor dtype/layout, and detector metadata."),
+    ("sfmapi.features.global.v1", "feature_set", "Versioned interchange manifest for per-image retrieval descriptors."),
+    ("sfmapi.pairs.image_names.v1", "pair_set", "Portable image-pair list keyed by dataset image names."),
+    ("sfmapi.matches.indexed.v1", "match_graph", "Portable match graph expressed as feature-index pairs."),
+    ("sfmapi.matches.coordinates.v1", "match_graph", "Portable detector-free match graph expressed as image coordinates."),
+    ("sfmapi.matches.dense.v1", "match_graph", "Portable tiled dense or semi-dense correspondence field."),
+    ("sfmapi.matches.verified.v1", "match_graph", "Portable verified correspondences with F/E/H matrices and inliers."),
+    ("sfmapi.reconstruction.sparse.v1", "sparse_model", "Portable cameras, image poses, rigs, tracks, and sparse points manifest."),
+    ("sfmapi.reconstruction.snapshot.v1", "sparse_model", "Immutable snapshot directory containing portable sparse reconstruction files."),
+    ("sfmapi.reconstruction.submodel.v1", "sparse_model", "One disconnected component inside a sparse reconstruction snapshot."),
+    ("sfmapi.projection.images.v1", "projection", "Projected image files plus a manifest with source/output geometry metadata."),
 ]
 # Camera models in the order of their ids, with their parameters.
 CAMERA_MODELS = [
@@ -63,8 +63,8 @@ def data_types(spark: SparkSession) -> DataFrame:
 
 
 def formats(spark: SparkSession) -> DataFrame:
-    rows = [(k, i, kind, None) for k, (i, kind) in enumerate(FORMATS)]
-    return spark.createDataFrame(rows, "ord int, format_id string, kind string, media_type string")
+    rows = [(k, i, kind, None, about) for k, (i, kind, about) in enumerate(FORMATS)]
+    return spark.createDataFrame(rows, "ord int, format_id string, kind string, media_type string, description string")
 
 
 def camera_models(spark: SparkSession) -> DataFrame:
