@@ -5,7 +5,8 @@ ASCII letters and digits one blank, trimmed) and looked up among known licence
 sentences. The document becomes the sequence of the identifiers found, other
 sentences left out, and ordered rules are matched against that sequence: a rule
 fits where its identifiers follow each other. The first fitting rule of each
-licence names the evidence. Everything stays in the row, so nothing is shuffled.
+licence names the evidence; a licence whose evidence another one's contains (two BSD
+clauses within three) does not count beside it. Everything stays in the row, so nothing is shuffled.
 
 A line is a sentence of its own, but known sentences are also found where they are
 wrapped: a single line end without a sentence mark before it may stand for a blank
@@ -21,9 +22,16 @@ length is read whole; repeated rows give repeated results; other columns pass by
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Licence names that may follow an SPDX tag (fixed values).
+SPDX_NAMES = (
+    "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later "
+    "AGPL-3.0-only AGPL-3.0-or-later MPL-2.0 ISC BSD-2-Clause BSD-3-Clause Unlicense Zlib CC0-1.0 CC-BY-4.0 CC-BY-NC-4.0"
+).split()
 #: Known licence sentences (fixed values): identifier and wording.
 SENTENCES: list[tuple[str, str]] = [
     ("mit-ref", "Released under the MIT License"),
@@ -53,6 +61,43 @@ SENTENCES: list[tuple[str, str]] = [
     ("ccby4-ref", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("bsd-redistribute", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("bsd-ref", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
+    ("bsd-source", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    (
+        "bsd-binary",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    ),
+    (
+        "bsd-endorse",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ),
+    ("gpl-terms", "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("lgpl-free", "This library is free software"),
+    ("lgpl-terms", "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    ("later-2", "either version 2 of the License, or (at your option) any later version"),
+    ("later-2.1", "either version 2.1 of the License, or (at your option) any later version"),
+    (
+        "lgpl-terms3",
+        "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    (
+        "agpl-terms3",
+        "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    ),
+    ("mpl2-terms", "This Source Code Form is subject to the terms of the Mozilla Public License, v"),
+    ("mpl2-copy", "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/"),
+    (
+        "isc-grant",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "isc-grant",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    ("unlicense-free", "This is free and unencumbered software released into the public domain"),
+    ("zlib-altered", "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software"),
+    ("cc0-waiver", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("spdx", "SPDX-License-Identifier"),
+    *((f"name:{name}", name) for name in SPDX_NAMES),
 ]
 #: Rules in order of precedence: rule, licence, identifiers that must follow each other.
 RULES: list[tuple[str, str, list[str]]] = [
@@ -69,7 +114,22 @@ RULES: list[tuple[str, str, list[str]]] = [
     ("cc-by4-reference", "CC-BY-4.0", ["ccby4-ref"]),
     ("bsd-clauses", "BSD", ["bsd-redistribute"]),
     ("bsd-reference", "BSD", ["bsd-ref"]),
+    ("bsd3-clauses", "BSD-3-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("bsd2-clauses", "BSD-2-Clause", ["bsd-redistribute", "bsd-source", "bsd-binary"]),
+    ("gpl2-header", "GPL-2.0", ["gpl-terms", "later-2"]),
+    ("lgpl21-header", "LGPL-2.1", ["lgpl-terms", "later-2.1"]),
+    ("lgpl3-terms", "LGPL-3.0", ["lgpl-terms3"]),
+    ("agpl3-terms", "AGPL-3.0", ["agpl-terms3"]),
+    ("mpl2-terms", "MPL-2.0", ["mpl2-terms"]),
+    ("mpl2-copy", "MPL-2.0", ["mpl2-copy"]),
+    ("isc-grant", "ISC", ["isc-grant"]),
+    ("unlicense", "Unlicense", ["unlicense-free"]),
+    ("zlib-altered", "Zlib", ["zlib-altered"]),
+    ("cc0-waiver", "CC0-1.0", ["cc0-waiver"]),
+    *(("spdx-tag", re.sub("-only$|-or-later$", "", name), ["spdx", f"name:{name}"]) for name in SPDX_NAMES),
 ]
+#: Licences whose evidence contains that of others, which then don't count.
+SUPERSEDES: dict[str, list[str]] = {"BSD-3-Clause": ["BSD-2-Clause", "BSD"], "BSD-2-Clause": ["BSD"]}
 #: Ends of sentences: a line's end, or sentence marks before white space.
 BOUNDARY = r"[.;:!?]*[ \t\r]*\n[ \t\r\n]*|[.;:!?]+[ \t\r]+"
 #: The ends among them that no sentence runs over: sentence marks, empty lines.
@@ -115,6 +175,8 @@ def scan(df: DataFrame, text: str = "text", sentences: list[tuple[str, str]] = S
     fits = [F.when(F.col("_ids").contains(" " + " ".join(seq) + " "), F.struct(F.lit(rule).alias("rule"), F.lit(licence).alias("licence"))) for rule, licence, seq in rules]
     rows = rows.withColumn("_fits", F.filter(F.array(*fits), lambda r: r.isNotNull()))
     licences = F.array_distinct(F.transform("_fits", lambda r: r["licence"]))
+    lesser = F.create_map(*[x for k, less in SUPERSEDES.items() for x in (F.lit(k), F.array(*map(F.lit, less)))])
+    licences = F.array_except(licences, F.flatten(F.transform(licences, lambda k: F.coalesce(F.element_at(lesser, k), F.array().cast("array<string>")))))
     first = F.transform(licences, lambda k: F.element_at(F.filter("_fits", lambda r: r["licence"] == k), 1)["rule"])
     return rows.select(
         *out,
@@ -132,9 +194,12 @@ def oracle_sql() -> str:
     by_licence: dict[str, list[tuple[str, list[str]]]] = {}
     for rule, licence, seq in RULES:
         by_licence.setdefault(licence, []).append((rule, seq))
-    case = lambda seqs: " ".join(f"WHEN contains(ids, ' {' '.join(seq)} ') THEN '{rule}'" for rule, seq in seqs)
-    named = ", ".join(f"CASE {case(seqs)} END" for seqs in by_licence.values())
-    licences = ", ".join(f"CASE {case([(k, s) for _, s in seqs])} END" for k, seqs in by_licence.items())
+    seen = lambda seq: f"contains(ids, ' {' '.join(seq)} ')"
+    greater = {k: [seen(seq) for k2, less in SUPERSEDES.items() if k in less for _, seq in by_licence[k2]] for k in by_licence}
+    none = lambda k: f"WHEN {' OR '.join(greater[k])} THEN NULL " if greater[k] else ""
+    case = lambda k, seqs: none(k) + " ".join(f"WHEN {seen(seq)} THEN '{name}'" for name, seq in seqs)
+    named = ", ".join(f"CASE {case(k, seqs)} END" for k, seqs in by_licence.items())
+    licences = ", ".join(f"CASE {case(k, [(k, s) for _, s in seqs])} END" for k, seqs in by_licence.items())
     boundary = BOUNDARY.replace("'", "''")
     return rf"""
         WITH known(sentence, name) AS (VALUES {pairs}),

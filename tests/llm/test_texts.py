@@ -72,6 +72,47 @@ modification, are permitted provided that the following conditions are met:
 """
 
 
+CLAUSES = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+"""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_more_licences(spark):
+    """Whole headers, plain and as comments; a greater licence counts alone."""
+    cases = [
+        (CLAUSES.replace("1. ", "").replace("2. ", ""), "BSD-2-Clause"), ((CLAUSES + THIRD).replace("1. ", "").replace("2. ", "").replace("3. ", ""), "BSD-3-Clause"), (CLAUSES, "BSD-2-Clause"), (CLAUSES + THIRD, "BSD-3-Clause"),
+        (LGPL, "LGPL-2.1"), (MPL, "MPL-2.0"), (ISC, "ISC"), (GPL.replace(": you", "; you").replace("Foundation, either version 3", "Foundation; either version 2"), "GPL-2.0"),
+        (GPL.replace("GNU General", "GNU Affero General"), "AGPL-3.0"), ("SPDX-License-Identifier: GPL-2.0-or-later\ncode", "GPL-2.0"), ("SPDX-License-Identifier: MIT", "MIT"), ("MIT", ""), ("SPDX-License-Identifier: Own", ""),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ]
+    texts = [t for c, _ in cases for t in (c, "".join(f"# {line}".rstrip() + "\n" for line in c.splitlines()))]
+    got = {r["doc_id"]: r["licenses"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == [name for _, name in cases for _ in range(2)]
+
+
 def test_wrapped_licences(spark):
     texts, want = [], []
     for text, ids, rule in ((MIT, "mit-title mit-grant mit-notice", "mit-full"), (GPL, "gpl-free gpl-terms3 gpl-hope", "gpl3-header"), (BSD, "bsd-redistribute", "bsd-clauses")):
