@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,21 +61,38 @@ def track_table(observations: DataFrame, point: str, *order: str) -> DataFrame:
     return observations.groupBy(point).agg(F.count("*").alias("track_len"), F.array_sort(F.collect_list(F.struct(*order))).alias("track"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """Inner product of two float arrays, summed in order in doubles."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def nearest(queries: DataFrame, items: DataFrame, kind: str, key: str, vector: str, block: int = 1024) -> DataFrame:
+    """For each query (key, kind, vector) its most similar other item of the same kind: a, b, score.
 
-
-def nearest(queries: DataFrame, items: DataFrame, kind: str, key: str, vector: str) -> DataFrame:
-    """For each query (key, kind, vector) its most similar other item of the same kind.
-
-    The kind is an equi-join key, and the best match is kept by aggregation, so
-    candidates never leave their task. Ties go to the smaller id.
+    Exact: queries and items of a kind are dealt to blocks of about `block` rows, and
+    every pair of blocks is one group of bounded size, so a kind that holds most rows
+    is spread over all tasks. A group yields only the best of each query in it.
+    Scores count to nine decimals; ties go to the smaller id. Vectors of one kind have
+    one length.
     """
-    left = queries.select(F.col(key).alias("a"), F.col(kind).alias("kind"), F.col(vector).alias("va"))
-    right = items.select(F.col(key).alias("b"), F.col(kind).alias("kind"), F.col(vector).alias("vb"))
-    scored = left.join(right, "kind").where("a <> b").select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 9).alias("s"))
-    best = scored.groupBy("a").agg(F.max(F.struct("s", (-F.col("b")).alias("nb"))).alias("best"))
+    cast = lambda df: df.select(F.col(key).cast("long").alias("id"), F.col(kind).alias("kind"), F.col(vector).cast("array<double>").alias("v"))
+    left, right = cast(queries), cast(items)
+    blocks = lambda df, name: df.groupBy("kind").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = blocks(left, "nx").join(blocks(right, "ny"), "kind")  # one row a kind
+    spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(sizes, "kind").select("kind", spot("nx").alias("x"), every("ny").alias("y"), "id", "v", F.lit(True).alias("asks"))
+    right = right.join(sizes, "kind").select("kind", every("nx").alias("x"), spot("ny").alias("y"), "id", "v", F.lit(False).alias("asks"))
+
+    def run(t: pa.Table) -> pa.Table:
+        asks, ids = t.column("asks").to_numpy(), t.column("id").to_numpy()
+        flat = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        a, b, u, w = ids[asks], ids[~asks], flat[asks], flat[~asks]
+        score = np.zeros((len(a), len(b)))
+        for d in range(flat.shape[1]):  # summed in order, the same in every block
+            score += u[:, d, None] * w[None, :, d]
+        score[a[:, None] == b[None, :]] = -np.inf
+        best = score.max(axis=1, initial=-np.inf)
+        i, j = np.nonzero((score >= best[:, None] - 2e-9) & (score > -np.inf))
+        return pa.table({"a": a[i], "b": b[j], "s": score[i, j]})
+
+    scored = left.unionByName(right).groupBy("kind", "x", "y").applyInArrow(run, "a long, b long, s double")
+    best = scored.groupBy("a").agg(F.max(F.struct(F.round("s", 9).alias("s"), (-F.col("b")).alias("nb"))).alias("best"))
     return best.select("a", (-F.col("best.nb")).alias("b"), F.col("best.s").alias("score"))
 
 

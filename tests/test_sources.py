@@ -215,3 +215,19 @@ def test_extractor_report(spark):
     points_ = spark.createDataFrame(rows, "image_id string, idx long, x float, y float, descriptor array<float>")
     got = {(r["image_id"], r["rule_id"]): r["holds"] for r in proc.extractor_report(images_, points_).collect()}
     assert all(got[i, f"KIT.extractor_{k}"] == (i != "b") for i in "abc" for k in ("places", "descriptors", "indices"))
+
+
+def test_nearest_in_blocks(spark):
+    """Blocks of any size give the same, also where one kind holds nearly all rows, with ties and single rows."""
+    from posegrid.operators import graph
+
+    rows = [(k, "hot" if k % 20 else "rare", [float((k * 7 + d * k) % 11) for d in range(5)]) for k in range(1, 200)] + [(900, "alone", [1.0] * 5)]
+    df = spark.createDataFrame(rows, "id long, kind string, v array<float>")
+    want = set()
+    for a, kind, u in rows:
+        found = [(round(sum(x * y for x, y in zip(u, w)), 9), -b) for b, k, w in rows if k == kind and b != a]
+        if found:
+            want.add((a, -max(found)[1], max(found)[0]))
+    for block in (1024, 16):
+        assert {tuple(r) for r in graph.nearest(df, df, "kind", "id", "v", block).collect()} == want
+    assert graph.nearest(df.limit(0), df, "kind", "id", "v").count() == 0
