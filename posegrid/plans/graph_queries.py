@@ -210,7 +210,10 @@ def matcher_conformance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return procedures.matcher_report(matches, points, procedures.MatcherTraits(), procedures.verify(matches, _even_verifier))
 
 
-@query()
+@query(
+    """SELECT format('view{:03d}', v) AS image_a, format('view{:03d}', v + 1) AS image_b, k AS m, 'indexed' AS mode, k AS idx_a, k AS idx_b
+       FROM range(2) AS a(v), range(6) AS b(k)"""
+)
 def synthetic_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The synthetic fixture: chained views with identity matches."""
     return synthetic.chain_matches(synthetic.keypoints(spark))
