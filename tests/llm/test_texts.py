@@ -100,6 +100,14 @@ copyright notice and this permission notice appear in all copies.
 """
 
 
+def test_license_signs(spark):
+    """Signs, control characters, NUL and all beyond ASCII are blanks, alone or in runs, as in normalise()."""
+    texts = ["MIT License", "MIT\u00a0License", "MIT\0License", "MIT \x7f\x01 License", "mit--\u2014 \U0001f600_License", "\u00e9 MIT\tLICENSE \u00e9", "MIT\u00e9eLicense", "MITLicense"]
+    got = {r["doc_id"]: r["sentence_ids"] for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {k: "mit-title" if license_scan.normalise(t) == "mit license" else "" for k, t in enumerate(texts)}
+    assert [k for k in got if got[k]] == [0, 1, 2, 3, 4, 5]
+
+
 def test_more_licences(spark):
     """Whole headers, plain and as comments; a greater licence counts alone."""
     cases = [
