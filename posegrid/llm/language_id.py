@@ -8,7 +8,8 @@ from training calibrates the scores.
 
 Document frequencies cover every training row. The classifier is fitted on a
 bounded sample of them: about `per_label` rows of each label, picked by a hash of
-the id, whose sparse features alone reach the driver. Where a dirty column holds
+the id, whose sparse features alone reach the driver: packed bytes, 8 for each
+distinct n-gram of a row, unpacked one row at a time. Where a dirty column holds
 more than `most_labels` labels, the most frequent ones are learned.
 
 Defined results: null text, and text without a letter, gets `und` and score 0; rows
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import give_back, tidy
 
 
 #: Hashed features, n-gram orders and rows a label may give the fit.
@@ -38,6 +39,8 @@ SIZE = 1 << BITS
 #: FTRL-proximal: learning rate, its offset, elastic-net penalties; passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.5, 1.0, 0.05, 0.01, 3
 UND = "und"
+#: Form of packed features; their bytes sort as their numbers do.
+PACKED = ">i4"
 #: Odd multipliers of the n-gram hash.
 _STEP, _SPREAD = np.uint32(0x01000193), np.uint32(0x9E3779B1)
 
@@ -113,8 +116,13 @@ class Model:
         return self.labels[best], float(p[best] / p.sum())
 
 
-def fit(labels: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]], idf: np.ndarray) -> Model:
-    """FTRL-proximal over the sample; each fifth row is kept for the temperature."""
+def unpacked(at: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """One row's features and counts, as ngrams() gives them."""
+    return np.frombuffer(at, dtype=PACKED).astype(np.int64), np.frombuffer(counts, dtype=PACKED).astype(np.float64)
+
+
+def fit(labels: list[str], rows: list[tuple[bytes, bytes, int]], idf: np.ndarray) -> Model:
+    """FTRL-proximal over the sample of packed features, counts and labels' places; each fifth row is kept for the temperature."""
     k = len(labels)
     model = Model(labels, idf, np.zeros((SIZE, k)), np.zeros(k))
     train = [r for i, r in enumerate(rows) if i % 5] or rows
@@ -125,10 +133,10 @@ def fit(labels: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]], idf:
         zi, ni = z[at], n[at]
         return np.where(np.abs(zi) <= L1, 0.0, -(zi - np.sign(zi) * L1) / ((BETA + np.sqrt(ni)) / ALPHA + L2))
 
-    ready = [(np.append(at, SIZE), np.append(model.vector(at, c), 1.0), y) for at, c, y in train]
     for step in range(PASSES):
-        for i in np.random.default_rng(step).permutation(len(ready)):
-            at, x, y = ready[i]
+        for i in np.random.default_rng(step).permutation(len(train)):
+            at, counts = unpacked(*train[i][:2])
+            at, x, y = np.append(at, SIZE), np.append(model.vector(at, counts), 1.0), train[i][2]
             w = weights(at)
             s = x @ w
             p = np.exp(s - s.max())
@@ -141,7 +149,7 @@ def fit(labels: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]], idf:
     every = weights(np.arange(SIZE + 1))
     model.weights, model.bias = every[:SIZE], every[SIZE]
     if kept:
-        s = np.array([model.logits(at, c) for at, c, _ in kept])
+        s = np.array([model.logits(*unpacked(at, c)) for at, c, _ in kept])
         y = np.array([r[2] for r in kept])
         smooth = 1.0 / (len(y) + 2)  # else a faultless fit would have no best temperature
 
@@ -161,20 +169,17 @@ def fit(labels: list[str], rows: list[tuple[np.ndarray, np.ndarray, int]], idf:
 
 
 def _features(df: DataFrame) -> DataFrame:
-    """Sparse features of the rows (label, text): label, at, counts."""
+    """Sparse features of the rows (label, text): label, at, counts; the last two packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 found = [ngrams(t or "") for t in part.column("text").to_pylist()]
-                offsets = pa.array(np.concatenate([[0], np.cumsum([len(at) for at, _ in found])]).astype(np.int32))
-                at = pa.array(np.concatenate([x for x, _ in found]).astype(np.int32))
-                counts = pa.array(np.concatenate([c for _, c in found]).astype(np.int32))
-                cols = [part.column("label"), pa.ListArray.from_arrays(offsets, at), pa.ListArray.from_arrays(offsets, counts)]
-                yield pa.RecordBatch.from_arrays(cols, names=["label", "at", "counts"])
+                packed = [pa.array([x[k].astype(PACKED).tobytes() for x in found], type=pa.binary()) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column("label"), *packed], names=["label", "at", "counts"])
 
-    return df.mapInArrow(tidy(run), "label string, at array<int>, counts array<int>")
+    return df.mapInArrow(tidy(run), "label string, at binary, counts binary")
 
 
 def _frequencies(df: DataFrame) -> DataFrame:
@@ -210,11 +215,12 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str
     share = F.create_map(*[x for k in labels for x in (F.lit(k), F.lit(min(1.0, per_label / sizes[k])))])
     sample = _features(rows.where(spot < share[F.col("label")]).select("text", "label"))
     place = {k: i for i, k in enumerate(labels)}
-    found = sorted(((r["label"], r["at"], r["counts"]) for r in sample.toLocalIterator()), key=lambda r: (r[1], r[2], r[0]))
-    found = [r for r in found if r[1]]
+    found = sorted((bytes(r["at"]), bytes(r["counts"]), place[r["label"]]) for r in sample.toLocalIterator() if r["at"])
     order = np.random.default_rng(7).permutation(len(found))  # equal on every run, whatever order the rows came in
-    data = [(np.array(found[i][1], dtype=np.int64), np.array(found[i][2], dtype=np.float64), place[found[i][0]]) for i in order]
-    return fit(labels, data, idf)
+    model = fit(labels, [found[i] for i in order], idf)
+    del found
+    give_back()
+    return model
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -332,3 +333,18 @@ def test_most_labels(spark):
     assert model.labels == ["de", "en"] and model.predict("the and")[0] == "en"
     named = language_id.identify(spark.createDataFrame([("the of", 0.5)], "text string, score double"), model, lang="l", score="s").first()
     assert (named["score"], named["l"]) == (0.5, "en")
+
+
+def test_sample_stays_small_on_the_driver(spark):
+    """The sample costs the driver's Python a few bytes an n-gram, and the fit no copy of it."""
+    r = random.Random(5)
+    rows = [(k, "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=3000)), "ab"[k % 2]) for k in range(800)]
+    grams = sum(len(language_id.ngrams(t)[0]) for _, t, _ in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    tracemalloc.start()
+    try:
+        language_id.train(df)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert grams > 1_000_000 and peak <= 16 * grams + 100 * language_id.SIZE
